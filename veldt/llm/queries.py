@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import mixing, quality_rules, sharding
+from veldt.llm import mixing, quality_rules, sharding, simhash
 from veldt.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     name = quality_rules.metrics_name(docs)
@@ -35,6 +40,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op7_sharding": op7_sharding,
+    "op8_simhash": op8_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
