@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import mixing, quality_rules, sharding, simhash, substring_dedup
+from veldt.llm import mixing, quality_rules, sharding, simhash, substring_dedup, suffix_array
 from veldt.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
