@@ -1,0 +1,8 @@
+"""Analytics of panels of entities as dynamic attributed networks, on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value: nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
