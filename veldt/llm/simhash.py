@@ -111,7 +111,7 @@ class GrayIndex:
     def shared(self, level: int, node: np.ndarray) -> np.ndarray:
         return ~(self.ones[level][node] ^ self.any[level][node])
 
-    def links(self, distance: int, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(self, distance: int, step: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (i < j) of positions in one bucket whose codes differ in at most ``distance`` bits."""
         top = len(self.child) - 1
         busy = np.flatnonzero(self.sizes > 1)
