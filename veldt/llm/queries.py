@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import mixing, quality_rules, sharding, simhash, substring_dedup, suffix_array
+from veldt.llm import mixing, quality_rules, sharding, simhash, substring_dedup, suffix_array, warc
 from veldt.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, folder)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_warc": op4_warc,
     "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
     "op10_quality_rules": op10_quality_rules,
