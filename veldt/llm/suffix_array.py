@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from veldt.llm.winnow import Bytes, covered, gram_hashes, remove_repeats
 
 #: Different stretches of one anchor that one task sorts; beyond, windows are counted by digest.
-CROWD = 256
+CROWD = 6000
 
 
 def suffix_array(s: list[int] | bytes) -> list[int]:
