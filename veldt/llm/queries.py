@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import mixing, quality_rules, sharding, simhash, substring_dedup, suffix_array, warc
+from veldt.llm import mixing, quality_rules, sharding, simhash, substring_dedup, suffix_array, toxicity, warc
 from veldt.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
     "op10_quality_rules": op10_quality_rules,
