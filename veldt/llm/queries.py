@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import mixing, quality_rules, sharding, simhash, substring_dedup, suffix_array, toxicity, warc
+from veldt.llm import mixing, quality_rules, sharding, simhash, substring_dedup, suffix_array, token_counts, toxicity, warc
 from veldt.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count(docs, token_counts.seeded_edits(F.col("doc_id"), F.col("text")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
     "op10_quality_rules": op10_quality_rules,
