@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one projection of built-in functions.
 
 No user function, pandas, Arrow or RDD code is involved; documents never leave
-their partition, so the plan is scan -> project and has no exchange.
+their partition, so the plan is scan -> project and has no exchange (``apply`` writes
+the judged rows once before it filters them).
 
 Defined results for odd input: a null or blank text has zero words and fails the
 base rules; ratios over an empty denominator are 0; repeated rows are judged one
@@ -16,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import SPACE_RUN, SPACES, free_name
+from veldt.llm.common import SPACE_RUN, SPACES, free_name, written
 
 
 class Rule(NamedTuple):
@@ -126,6 +127,9 @@ def verdict(m: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
 
 def apply(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """Documents that pass the base rules and every threshold, columns unchanged."""
-    name = metrics_name(df)
-    scored = metrics(df, text)
-    return scored.where(~base_failed(F.col(name)) & verdict(F.col(name), rules)).drop(name)
+    name, keep = metrics_name(df), free_name(df, "keep")
+    m = F.col(name)
+    judged = metrics(df, text).select(*[F.col(f"`{c}`") for c in df.columns], (~base_failed(m) & verdict(m, rules)).alias(keep))
+    # written before it is filtered: a filter over these projections makes the optimiser copy every
+    # expression into constraints, which for hours gets it nowhere
+    return written(judged, "judged").where(keep).drop(keep)

@@ -72,11 +72,11 @@ class Finish:
     def __init__(self, span: int):
         self.span = span
 
-    def __call__(self, raw: bytes, marks: list[dict]) -> tuple[int, int, str]:
+    def __call__(self, raw: bytes, spots: tuple | None) -> tuple[int, int, str]:
         words = raw.split()
-        if not marks:
+        if spots is None:
             return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
-        cover, n = covered(marks, len(words), self.span)
+        cover, n = covered(spots, len(words), self.span)
         kept = b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c])
         return len(words), n, hashlib.sha256(kept).hexdigest()
 

@@ -175,10 +175,10 @@ class Finish:
     def __init__(self, span: int):
         self.span = span
 
-    def __call__(self, raw: bytes, marks: list[dict]) -> tuple[int, int, int, str]:
-        if not marks:
+    def __call__(self, raw: bytes, spots: tuple | None) -> tuple[int, int, int, str]:
+        if spots is None:
             return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
-        cover, n = covered(marks, len(raw), self.span)
+        cover, n = covered(spots, len(raw), self.span)
         spans = int(np.count_nonzero(np.diff(np.r_[0, cover.view(np.int8)]) == 1))
         kept = np.frombuffer(raw, dtype=np.uint8)[~cover].tobytes()
         return len(raw), n, spans, hashlib.sha256(kept).hexdigest()

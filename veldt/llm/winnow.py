@@ -172,24 +172,19 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pieces(batches: Iterator[pa.RecordBatch], unit) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, k, z, marks: list of v, g, c, at, n, hot) -> a row per mark with the domain's symbols."""
     unzip = zstandard.ZstdDecompressor()
-    names = ("v", "g", "c", "at", "n", "hot")
+    names = ["v", "g", "c", "at", "n", "hot"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            rows, out, content = [], {x: [] for x in names}, []
-            for i, (z, marks) in enumerate(zip(part.column("z").to_pylist(), part.column("marks").to_pylist(), strict=True)):
-                raw = unzip.decompress(z)
-                parts = unit.parse(raw)[2] if unit.width > 1 else raw
-                for m in marks:
-                    rows.append(i)
-                    for x in names:
-                        out[x].append(m[x])
-                    content.append(unit.piece(parts, m["at"], m["at"] + m["n"] - 1 + unit.span))
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(take), part.column("k").take(take), *[pa.array(out[x], t) for x, t in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], pa.array(content, pa.binary())],
-                names=["doc_id", "k", *names, "content"],
-            )
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            marks = one.column("marks").flatten()
+            raw = unzip.decompress(one.column("z")[0].as_py())
+            parts = unit.parse(raw)[2]
+            ats, ns = marks.field("at").to_numpy(), marks.field("n").to_numpy()
+            for a in range(0, len(ats), 4096):
+                b = min(a + 4096, len(ats))
+                content = [unit.piece(parts, x, x + n - 1 + unit.span) for x, n in zip(ats[a:b].tolist(), ns[a:b].tolist(), strict=True)]
+                some, take = marks.slice(a, b - a), pa.array(np.zeros(b - a, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([one.column("doc_id").take(take), one.column("k").take(take), *[some.field(x) for x in names], pa.array(content, pa.binary())], names=["doc_id", "k", *names, "content"])
 
 
 def _kernel_groups(frames, unit, solve) -> Iterator:
@@ -250,16 +245,21 @@ def _finished(batches: Iterator[pa.RecordBatch], unit, finish) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            rows = [finish(unzip.decompress(z), marks or []) for z, marks in zip(part.column("z").to_pylist(), part.column("marks").to_pylist(), strict=True)]
+            rows, marks = [], part.column("marks")
+            for i in range(part.num_rows):
+                raw = unzip.decompress(part.column("z")[i].as_py())
+                found = marks[i].values if marks[i].is_valid else None
+                spots = (found.field("at").to_numpy(), found.field("n").to_numpy()) if found is not None and len(found) else None
+                rows.append(finish(raw, spots))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x) for x in zip(*rows, strict=True)]], names=["doc_id", *finish.names])
 
 
-def covered(marks: list[dict], total: int, span: int) -> tuple[np.ndarray, int]:
-    """Boolean cover of ``total`` symbols by the marked windows, and how many are covered."""
+def covered(spots: tuple[np.ndarray, np.ndarray], total: int, span: int) -> tuple[np.ndarray, int]:
+    """Boolean cover of ``total`` symbols by the marked runs of windows (first, count), and how many are covered."""
+    first, count = spots
     edge = np.zeros(total + 1, dtype=np.int64)
-    for m in marks:
-        edge[m["at"]] += 1
-        edge[m["at"] + m["n"] - 1 + span] -= 1
+    np.add.at(edge, first, 1)
+    np.subtract.at(edge, first + count - 1 + span, 1)
     cover = np.cumsum(edge[:-1]) > 0
     return cover, int(cover.sum())
 
@@ -269,7 +269,7 @@ def remove_repeats(df: DataFrame, unit, solve: Callable, finish: Callable, crowd
 
     solve: kernel for the domains of one anchor, at most ``crowd`` different ones; anchors with
     more (or with a domain of over ``long_domain`` windows) are settled window by window.
-    finish(raw text, marks) -> the result columns, named and typed by finish.names, finish.schema.
+    finish(raw text, (first windows, counts) or None) -> the result columns, named and typed by finish.names, finish.schema.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
