@@ -33,14 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of the tables that ``written`` has made in this process, oldest first.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> int:
+    return len(_tables)
+
+
+def drop_tables(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the written tables first .. last - 1: nothing that still has to be computed may read them."""
+    for k in range(first, last):
+        if path := _tables[k]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(folder, True)
+            _tables[k] = ""
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has, whatever the caller's extra columns are called."""
     taken = {c.lower() for c in df.columns}

@@ -1,13 +1,12 @@
 """Quality rules: a threshold table compiled into one projection of built-in functions.
 
 No user function, pandas, Arrow or RDD code is involved; documents never leave
-their partition, so the plan is scan -> project and has no exchange (``apply`` writes
-the judged rows once before it filters them).
+their partition, so the plan is scan -> project (or filter) and has no exchange.
 
 Defined results for odd input: a null or blank text has zero words and fails the
 base rules; ratios over an empty denominator are 0; repeated rows are judged one
 by one; an empty table gives an empty result; extra columns pass through ``apply``
-untouched and ``metrics`` never reads them.
+untouched and ``metrics`` reads the text alone.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import SPACE_RUN, SPACES, free_name, written
+from veldt.llm.common import SPACE_RUN, SPACES
 
 
 class Rule(NamedTuple):
@@ -46,6 +45,11 @@ DEFAULT_RULES = (
 )
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it and wherever the optimiser moves it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _repeat_words(grams: Column) -> Column:
     """Words covered by windows whose hash has an equal neighbour in the sorted window list."""
     return F.aggregate(
@@ -64,49 +68,46 @@ def _repeat_words(grams: Column) -> Column:
     )
 
 
-def metrics(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """``df`` plus a struct column ``_metrics`` (see :func:`metrics_name`) of counts and ratios."""
-    out = metrics_name(df)
-    body, w, g = free_name(df, "body"), free_name(df, "w"), free_name(df, "g")
-    df = df.withColumn(body, F.coalesce(F.col(text), F.lit("")))
-    trimmed = F.btrim(F.col(body), F.lit(SPACES))
-    df = df.withColumn(w, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN)))
-    words = F.col(w)
+def _counts(body: Column, words: Column, stop_words: tuple[str, ...]) -> Column:
     grams = F.sort_array(
         F.transform(
             F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
             lambda x, i: F.struct(F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
         )
     )
-    df = df.withColumn(g, grams)
-    bare = F.length(F.translate(F.col(body), SPACES, ""))
-    symbols = F.length(F.col(body)) - F.length(F.translate(F.col(body), "#*$%&|<>", ""))
-    lines = F.filter(F.split(F.col(body), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    stops = F.size(F.filter(words, lambda x: F.lower(x).isin(*stop_words)))
-    counts = F.struct(
+    lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    return F.struct(
         F.size(words).cast("long").alias("n_words"),
-        bare.cast("long").alias("word_chars"),
-        symbols.cast("long").alias("n_symbols"),
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col(g)).alias("n_repeat_words"),
-        stops.cast("long").alias("n_stop_words"),
+        F.length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
+        (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
+        let(grams, _repeat_words).alias("n_repeat_words"),
+        F.size(F.filter(words, lambda x: F.lower(x).isin(*stop_words))).cast("long").alias("n_stop_words"),
     )
-    df = df.withColumn(out, counts)
-    m = F.col(out)
+
+
+def _ratios(c: Column) -> Column:
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
-    for name, value in (
-        ("mean_word_chars", ratio(m["word_chars"], m["n_words"])),
-        ("symbol_ratio", ratio(m["n_symbols"], m["n_words"])),
-        ("dup_line_ratio", ratio(m["n_dup_lines"], m["n_lines"])),
-        ("stop_word_ratio", ratio(m["n_stop_words"], m["n_words"])),
-    ):
-        df = df.withColumn(out, F.col(out).withField(name, value))
-    return df.drop(body, w, g)
+    return F.struct(
+        *[c[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_stop_words")],
+        c["lines"]["n"].alias("n_lines"),
+        c["lines"]["dup"].alias("n_dup_lines"),
+        ratio(c["word_chars"], c["n_words"]).alias("mean_word_chars"),
+        ratio(c["n_symbols"], c["n_words"]).alias("symbol_ratio"),
+        ratio(c["lines"]["dup"], c["lines"]["n"]).alias("dup_line_ratio"),
+        ratio(c["n_stop_words"], c["n_words"]).alias("stop_word_ratio"),
+    )
+
+
+def metrics(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Struct of counts and ratios of a text."""
 
+    def measured(body: Column) -> Column:
+        trimmed = F.btrim(body, F.lit(SPACES))
+        cut = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
+        return let(cut, lambda w: let(_counts(body, w, stop_words), _ratios))
 
-def metrics_name(df: DataFrame) -> str:
-    return free_name(df, "metrics")
+    return let(F.coalesce(text, F.lit("")), measured)
 
 
 def base_failed(m: Column) -> Column:
@@ -126,10 +127,5 @@ def verdict(m: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
 
 
 def apply(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
-    """Documents that pass the base rules and every threshold, columns unchanged."""
-    name, keep = metrics_name(df), free_name(df, "keep")
-    m = F.col(name)
-    judged = metrics(df, text).select(*[F.col(f"`{c}`") for c in df.columns], (~base_failed(m) & verdict(m, rules)).alias(keep))
-    # written before it is filtered: a filter over these projections makes the optimiser copy every
-    # expression into constraints, which for hours gets it nowhere
-    return written(judged, "judged").where(keep).drop(keep)
+    """Documents that pass the base rules and every threshold, columns unchanged: one filter over the scan."""
+    return df.where(let(metrics(F.col(text)), lambda m: ~base_failed(m) & verdict(m, rules)))

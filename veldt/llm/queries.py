@@ -53,16 +53,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    name = quality_rules.metrics_name(docs)
-    m = F.col(name)
-    out = quality_rules.metrics(docs).select(
+    rows = table(spark, sf_dir, "documents").select("doc_id", quality_rules.metrics(F.col("text")).alias("m"))
+    m = F.col("m")
+    return rows.select(
         "doc_id",
         *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         quality_rules.base_failed(m).alias("base_failed"),
-        quality_rules.verdict(m).alias("ok"),
+        (~quality_rules.base_failed(m) & quality_rules.verdict(m)).alias("kept"),
     )
-    return out.select(*out.columns[:-1], (~F.col("base_failed") & F.col("ok")).alias("kept"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

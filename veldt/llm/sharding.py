@@ -131,7 +131,7 @@ def shard(df: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "t
     """
     names = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     size, crc, id_ = (free_name(df, n) for n in ("size", "crc", "id"))
-    part, sub, base = (free_name(df, n) for n in ("range", "sub", "base"))
+    part, sub, base, of_shard, of_part, of_sub = (free_name(df, n) for n in ("range", "sub", "base", "of_shard", "of_range", "of_sub"))
     keep = [c for c in df.columns if c not in names] if carry else [doc_id]
     keyed = [k.alias(n) for k, n in zip(key_columns(F.col(text), F.col(doc_id)), (size, crc, id_), strict=True)]
     if carry:
@@ -155,13 +155,13 @@ def shard(df: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "t
 
     counts = keys.select(shard_of(F.col("crc"), F.col("id"), found).alias("shard"), in_range("crc").alias("r"), "id").groupBy("shard", "r", sub_of(F.col("r"), F.col("id")).alias("sub")).count()
     before = Window.partitionBy("shard").orderBy("r", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    base_of = counts.select(F.col("shard").alias("_s"), F.col("r").alias("_r"), F.col("sub").alias("_u"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+    base_of = counts.select(F.col("shard").alias(of_shard), F.col("r").alias(of_part), F.col("sub").alias(of_sub), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
     data = data.select("*", shard_of(F.col(crc), F.col(id_), found).alias("shard"), in_range(crc).alias(part))
     data = data.withColumn(sub, sub_of(F.col(part), F.col(id_)))
     # the one exchange: numbering inside (shard, range, sub); the offsets are at most shards x ranges + subs rows
     order = Window.partitionBy("shard", part, sub).orderBy(crc, id_, size)
     data = data.withColumn("slot", F.row_number().over(order).cast("long"))
-    data = data.join(F.broadcast(base_of), (F.col("shard") == F.col("_s")) & (F.col(part) == F.col("_r")) & (F.col(sub) == F.col("_u")))
+    data = data.join(F.broadcast(base_of), (F.col("shard") == F.col(of_shard)) & (F.col(part) == F.col(of_part)) & (F.col(sub) == F.col(of_sub)))
     return data.select(
         *keep,
         F.col(size).alias("size"),

@@ -249,17 +249,20 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
     """The rows of ``df`` that are first of their component (least doc_id; of repeated rows, one).
 
-    Texts move once, hashed by fingerprint; a component's choice is made on ids alone.
+    Who stays is decided on ids, fingerprints and hashes of the texts; texts move once, to be
+    joined with the rows that stay.
     """
-    row, fp = free_name(df, "row"), free_name(df, "fp")
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc_id"), F.col(text).alias("text"))
-    docs = written(fingerprints(packed, "doc_id", "text", size, seed), "simhash-rows").select(F.col("doc_id").alias(row), F.col("fp").alias(fp))
-    fps = written(docs.groupBy(fp).agg(F.min(F.col(row)[doc_id]).alias("least")).withColumnRenamed(fp, "fp"), "simhash-distinct")
+    ident = lambda i, t: (F.xxhash64(i, t), F.xxhash64(t, F.lit(1), i))  # noqa: E731  of the row, not null
+    h1, h2, n = free_name(df, "h1"), free_name(df, "h2"), free_name(df, "n")
+    keys = F.struct(F.col(doc_id).alias("id"), *[h.alias(x) for h, x in zip(ident(F.col(doc_id), F.col(text)), ("h1", "h2"), strict=True)])
+    packed = df.select(keys.alias("doc_id"), F.col(text).alias("text"))
+    docs = written(fingerprints(packed, "doc_id", "text", size, seed), "simhash-docs").select("doc_id.*", "fp")
+    fps = written(docs.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("least")), "simhash-distinct")
     roots = components(links(fps.select("fp"), distance))
-    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min_by("fp", F.struct(F.col("least").isNull(), "least", "fp")).alias("fp"), F.min("least").alias("least"))
-    first = docs.join(best.select(F.col("fp").alias("_f"), F.col("least").alias("_l")), (F.col(fp) == F.col("_f")) & F.col(row)[doc_id].eqNullSafe(F.col("_l")))
-    # repeated rows share fingerprint and id: one of them stays
-    pick = Window.partitionBy(fp).orderBy(F.xxhash64(F.col(row)[text]))
-    once = first.withColumn("_n", F.row_number().over(pick)).where("_n = 1")
-    return once.select(*[F.col(row)[c].alias(c) for c in df.columns])
+    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
+    stay = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.h1").alias(h1), F.col("least.h2").alias(h2)), "simhash-stay")
+    keyed = df.select("*", *[h.alias(x) for h, x in zip(ident(F.col(doc_id), F.col(text)), (h1, h2), strict=True)])
+    first = keyed.join(stay, [h1, h2], "left_semi")
+    # repeated rows are alike in id and text: one of them stays
+    once = first.withColumn(n, F.row_number().over(Window.partitionBy(h1, h2).orderBy(h1))).where(F.col(n) == 1)
+    return once.drop(h1, h2, n)

@@ -143,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, doc_id: str
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     order = F.xxhash64(F.col("_id").cast("string"), F.lit("toxicity"))
     sample = known.where("_y = 1").orderBy(order, "_id").limit(max_rows // 3).union(known.where("_y = 0").orderBy(order, "_id").limit(max_rows - max_rows // 3))
-    rows = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("_id")).select("_id", F.coalesce(F.col(text), F.lit("")).alias("t"), "_y").limit(2 * max_rows).collect()
+    texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = texts.join(F.broadcast(sample), "_id").select("_id", "t", "_y").limit(2 * max_rows).collect()
     rows.sort(key=lambda r: (r["_id"], r["t"]))
     total = counts.get(0, 0) + counts.get(1, 0)
     return fit([r["t"] for r in rows], [r["_y"] for r in rows], counts.get(1, 0) / total if total else 0.0)
