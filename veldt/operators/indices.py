@@ -124,12 +124,12 @@ def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
 def mutual_information(a: DataFrame, b: DataFrame) -> DataFrame:
     """Normalised by the mean of both entropies."""
     t = _table(a, b)
-    total = t.agg(F.sum("n").alias("N"))
+    total = t.agg(F.sum("n").alias("all"))
     ra, rb = t.groupBy("la").agg(F.sum("n").alias("na")), t.groupBy("lb").agg(F.sum("n").alias("nb"))
     p = t.join(ra, "la").join(rb, "lb").crossJoin(total)
-    mi = p.agg(F.sum(F.col("n") / F.col("N") * F.ln(F.col("n") * F.col("N") / (F.col("na") * F.col("nb")))).alias("mi"))
-    ha = ra.crossJoin(total).agg((-F.sum(F.col("na") / F.col("N") * F.ln(F.col("na") / F.col("N")))).alias("ha"))
-    hb = rb.crossJoin(total).agg((-F.sum(F.col("nb") / F.col("N") * F.ln(F.col("nb") / F.col("N")))).alias("hb"))
+    mi = p.agg(F.sum(F.col("n") / F.col("all") * F.ln(F.col("n") * F.col("all") / (F.col("na") * F.col("nb")))).alias("mi"))
+    ha = ra.crossJoin(total).agg((-F.sum(F.col("na") / F.col("all") * F.ln(F.col("na") / F.col("all")))).alias("ha"))
+    hb = rb.crossJoin(total).agg((-F.sum(F.col("nb") / F.col("all") * F.ln(F.col("nb") / F.col("all")))).alias("hb"))
     mean = (F.col("ha") + F.col("hb")) / 2
     return mi.crossJoin(ha).crossJoin(hb).select(F.when(mean == 0, 1.0).otherwise(F.greatest(F.col("mi"), F.lit(0.0)) / mean).alias("NMI"))
 

@@ -52,9 +52,12 @@ def blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     n = max(1, -(-vectors.count() // size))
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    keep = [c for c in vectors.columns]
-    rows = vectors.select(*keep, own.alias("own"), other.alias("other"))
-    return rows.select(F.col("own").alias("i"), F.col("other").alias("j"), *keep), rows.select(F.col("other").alias("i"), F.col("own").alias("j"), *keep)
+    rows = vectors.select("*", own.alias("own"), other.alias("other"))
+
+    def side(i: str, j: str) -> DataFrame:  # aliases: the two sides of a cogroup must not share columns
+        return rows.select(F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(c) for c in vectors.columns])
+
+    return side("own", "other"), side("other", "own")
 
 
 def _best(left: pd.DataFrame, right: pd.DataFrame, k: int, measure: Measure) -> pd.DataFrame:

@@ -6,6 +6,7 @@ level, so everything that needs a partition has one without clustering first.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,7 @@ from veldt.operators import cluster, concepts, features, graphs, indices, pairs,
 from veldt.plans.config import HIGHER_IS_BETTER, Config
 from veldt.plans.sqltext import CATS, FEATURES, RESID, SHARES, sql
 from veldt.sources import panel as source
+from veldt.sources.staging import materialised
 
 CFG = Config(knn=5)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,29 +47,53 @@ def s6(columns, digits: int = 6) -> str:
 
 # ---- shared inputs -------------------------------------------------------------------
 
+_kept: dict[tuple, DataFrame] = {}
 
+
+def shared(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The context is built once a session and input: many queries start from it, some several times.
+
+    It is written to the shared folder and read back, so plans above it start from a scan.
+    """
+
+    @functools.wraps(build)
+    def get(spark: SparkSession, d: str, *args) -> DataFrame:
+        key = (spark.sparkContext.applicationId, id(spark), build.__name__, d, *args)
+        if key not in _kept:
+            _kept[key] = materialised(build(spark, d, *args), build.__name__)
+        return _kept[key]
+
+    return get
+
+
+@shared
 def wide(spark: SparkSession, d: str, months: int = 24) -> DataFrame:
     return features.wide_panel(source.orders_panel(spark, d), list(CFG.categories), months)
 
 
+@shared
 def shares(spark: SparkSession, d: str) -> DataFrame:
     return features.smoothed_shares(wide(spark, d), list(CFG.categories))
 
 
+@shared
 def panel_features(spark: SparkSession, d: str) -> DataFrame:
     return features.feature_panel(wide(spark, d), list(CFG.categories))
 
 
+@shared
 def profile_vectors(spark: SparkSession, d: str) -> DataFrame:
     return features.as_vectors(features.profile(panel_features(spark, d)).withColumnRenamed("entity", "id"), ["id"])
 
 
+@shared
 def types(spark: SparkSession, d: str) -> DataFrame:
     """(id, label): thirds by mean level, 0 the highest."""
     mean = features.level(shares(spark, d)).groupBy(F.col("entity").alias("id")).agg(F.avg("level").alias("l"))
     return mean.select("id", (F.ntile(3).over(Window.orderBy(F.desc("l"), "id")) - 1).cast("long").alias("label"))
 
 
+@shared
 def residuals(spark: SparkSession, d: str) -> DataFrame:
     return features.category_residuals(wide(spark, d), list(CFG.categories))
 
@@ -84,10 +110,12 @@ def vector_labels(spark: SparkSession, d: str) -> DataFrame:
     return source.scan(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
 
 
+@shared
 def vector_graph(spark: SparkSession, d: str) -> DataFrame:
     return graphs.cosine_graph(vectors(spark, d), 15)
 
 
+@shared
 def profile_graph(spark: SparkSession, d: str) -> DataFrame:
     return graphs.cosine_graph(profile_vectors(spark, d), 5)
 
@@ -96,12 +124,13 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
     return source.scan(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("g"))
 
 
+@shared
 def emissions(spark: SparkSession, d: str) -> DataFrame:
-    x = features.as_vectors(panel_features(spark, d), ["entity", "period"])
+    panel = panel_features(spark, d)
     p = profile_vectors(spark, d)
     centres = indices.centroids(p, types(spark, d))
     t = temporal.tau(p, centres).first()[0] or 1.0
-    return temporal.emissions(x, centres, t)
+    return temporal.emissions(features.as_vectors(panel, ["entity", "period"]), centres, t)
 
 
 def path(spark: SparkSession, d: str) -> DataFrame:
@@ -374,7 +403,7 @@ def local_clustering(spark, d):
     return r6(graphs.local_clustering(vector_graph(spark, d)))
 
 
-@query(sql("SELECT id, min(component) AS component FROM reach GROUP BY id", "reach(id, component) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT FROM nation UNION SELECT e.src, r.component FROM reach r JOIN rknn_mod e ON e.dst = r.id), rknn_mod AS (SELECT * FROM rknn WHERE src % 4 = dst % 4)"))
+@query(sql("SELECT id, min(component) AS component FROM reach GROUP BY id", "rknn_mod AS (SELECT * FROM rknn WHERE src % 4 = dst % 4), reach(id, component) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT FROM nation UNION SELECT e.src, r.component FROM reach r JOIN rknn_mod e ON e.dst = r.id)"))
 def components(spark, d):
     e = graphs.build("road", None, None, source.road_edges(spark, d), [], "", 0, CFG).where("src % 4 = dst % 4")
     return graphs.components(e, regions(spark, d).select("id"))
@@ -804,7 +833,7 @@ def movers(spark, d):
 _SHARE_MEAN = "SELECT entity AS id, label, " + ", ".join(f"avg({c}) AS {c}" for c in SHARES) + " FROM shares JOIN types ON id = entity GROUP BY ALL"
 
 
-def share_means(spark, d) -> DataFrame:
+def share_means(spark: SparkSession, d: str) -> DataFrame:
     m = shares(spark, d).groupBy(F.col("entity").alias("id")).agg(*[F.avg(c).alias(c) for c in SHARES])
     return m.join(types(spark, d), "id")
 
