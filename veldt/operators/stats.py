@@ -52,13 +52,13 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: chi2 (continuity-corrected for 2 x 2), dof, V."""
     t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     ra, rb = t.groupBy("a").agg(F.sum("n").alias("na")), t.groupBy("b").agg(F.sum("n").alias("nb"))
-    one = ra.agg(F.sum("na").alias("N"), F.count(F.lit(1)).alias("r")).crossJoin(rb.agg(F.count(F.lit(1)).alias("c")))
+    one = ra.agg(F.sum("na").alias("all"), F.count(F.lit(1)).alias("r")).crossJoin(rb.agg(F.count(F.lit(1)).alias("c")))
     cells = ra.crossJoin(F.broadcast(rb)).join(t, ["a", "b"], "left").crossJoin(F.broadcast(one))  # categories, not rows
-    e = F.col("na") * F.col("nb") / F.col("N")
+    e = F.col("na") * F.col("nb") / F.col("all")
     gap = F.abs(F.coalesce("n", F.lit(0.0)) - e)
     gap = F.when((F.col("r") == 2) & (F.col("c") == 2), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    out = cells.groupBy("N", "r", "c").agg(F.sum(gap * gap / e).alias("chi2"))
-    return out.select("chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("dof"), F.sqrt(F.try_divide(F.col("chi2"), F.col("N") * (F.least("r", "c") - 1))).alias("V"))
+    out = cells.groupBy("all", "r", "c").agg(F.sum(gap * gap / e).alias("chi2"))
+    return out.select("chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("dof"), F.sqrt(F.try_divide(F.col("chi2"), F.col("all") * (F.least("r", "c") - 1))).alias("V"))
 
 
 def eta_squared(df: DataFrame, value: str, label: str) -> DataFrame:
@@ -76,9 +76,9 @@ def kruskal_wallis(df: DataFrame, value: str, label: str) -> DataFrame:
     order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = ties.withColumn("rank", F.coalesce(F.sum("t").over(order), F.lit(0)) + (F.col("t") + 1) / 2)
     by = rows.join(ranked, F.col(value) == F.col("v")).groupBy(label).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
-    h = by.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("n").alias("N"), (F.count(F.lit(1)) - 1).alias("dof"))
+    h = by.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("n").alias("all"), (F.count(F.lit(1)) - 1).alias("dof"))
     c = ranked.agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")).alias("tie"))
-    n = F.col("N").cast("double")
+    n = F.col("all").cast("double")
     raw = 12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
     return h.crossJoin(c).select((raw / (1 - F.col("tie") / (n * n * n - n))).alias("H"), "dof")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldt.operators import cluster, features, graphs, indices
+from veldt.sources.staging import materialised
 
 JOB = "key string, draw int, method string, rule string, k int, seed int, fraction double"
 
@@ -55,7 +56,7 @@ def stability(vectors: DataFrame, edges: dict[str, DataFrame], method: str, rule
     rows = [(key, 0, method, rule, k, seed, 1.0)]
     rows += [(key, b + 1, method, rule, k, seed + b + 1, fraction) for b in range(draws)]
     rows += [(key, 1000 + s, method, rule, k, seed + 100 + s, 1.0) for s in range(seeds)]
-    lab = cluster.run(spark.createDataFrame(rows, JOB), vectors, edges).cache()
+    lab = materialised(cluster.run(spark.createDataFrame(rows, JOB), vectors, edges), "runs")
     base = lab.where("draw = 0").select("id", F.col("label").alias("base"))
     ari = lab.where("draw > 0").join(base, "id").select("draw", "label", "base").groupBy("draw").applyInPandas(_agreement, "draw int, ari double")
     kind = F.when(F.col("draw") < 1000, "subsample").otherwise("seed")
@@ -77,11 +78,11 @@ def ablation(wide: DataFrame, categories: list[str], k: int, knn: int = 5, metho
     def solve(patch: dict) -> DataFrame:
         w = weights | {b: v for b, v in patch.items() if b in weights}
         panel = features.feature_panel(wide, categories, patch.get("window", 3), relative=patch.get("relative", True), weights=w)
-        x = features.as_vectors(features.profile(panel).withColumnRenamed("entity", "id"), ["id"])
+        x = materialised(features.as_vectors(features.profile(panel).withColumnRenamed("entity", "id"), ["id"]), "ablation")
         job = spark.createDataFrame([(method, 0, method, "cosine", k, 42, 1.0)], JOB)
-        return cluster.run(job, x, {"cosine": graphs.cosine_graph(x, knn)}).select("id", "label")
+        return materialised(cluster.run(job, x, {"cosine": graphs.cosine_graph(x, knn)}).select("id", "label"), "ablation")
 
-    base, out = solve({}).cache(), None
+    base, out = solve({}), None
     for name, patch in PATCHES.items():
         one = indices.adjusted_rand(base, solve(patch)).select(F.lit(name).alias("patch"), F.col("ARI").alias("ari"))
         out = one if out is None else out.union(one)

@@ -775,10 +775,10 @@ def describe_types(spark, d):
     return r6(concepts.describe_types(part_context(spark, d), lab))
 
 
-_X2 = "SELECT a, b, na, nb, N, coalesce(n, 0) AS n FROM (SELECT lang AS a, count(*)::DOUBLE AS na FROM dl GROUP BY 1) CROSS JOIN (SELECT source AS b, count(*)::DOUBLE AS nb FROM dl GROUP BY 1) CROSS JOIN (SELECT count(*)::DOUBLE AS N FROM dl) LEFT JOIN (SELECT lang AS a, source AS b, count(*)::DOUBLE AS n FROM dl GROUP BY ALL) USING (a, b)"
+_X2 = "SELECT a, b, na, nb, tot, coalesce(n, 0) AS n FROM (SELECT lang AS a, count(*)::DOUBLE AS na FROM dl GROUP BY 1) CROSS JOIN (SELECT source AS b, count(*)::DOUBLE AS nb FROM dl GROUP BY 1) CROSS JOIN (SELECT count(*)::DOUBLE AS tot FROM dl) LEFT JOIN (SELECT lang AS a, source AS b, count(*)::DOUBLE AS n FROM dl GROUP BY ALL) USING (a, b)"
 
 
-@query(f"""WITH dl AS (SELECT lang, source FROM documents), x AS ({_X2}), y AS (SELECT sum(power(n - na * nb / N, 2) / (na * nb / N)) AS chi2, any_value(N) AS N, count(DISTINCT a) AS r, count(DISTINCT b) AS c FROM x) SELECT round(chi2, 6) AS chi2, (r - 1) * (c - 1) AS dof, round(sqrt(chi2 / (N * (least(r, c) - 1))), 6) AS "V" FROM y""")
+@query(f"""WITH dl AS (SELECT lang, source FROM documents), x AS ({_X2}), y AS (SELECT sum(power(n - na * nb / tot, 2) / (na * nb / tot)) AS chi2, any_value(tot) AS tot, count(DISTINCT a) AS r, count(DISTINCT b) AS c FROM x) SELECT round(chi2, 6) AS chi2, (r - 1) * (c - 1) AS dof, round(sqrt(chi2 / (tot * (least(r, c) - 1))), 6) AS "V" FROM y""")
 def cramers_v(spark, d):
     return r6(stats.cramers_v(source.scan(spark, d, "documents"), "lang", "source"))
 
@@ -818,7 +818,7 @@ def within_region(spark, d):
 # ---- serving -------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, p_name, at FROM (SELECT p_partkey, p_name, instr(lower(p_name), 'ri') AS at FROM part) WHERE at > 0 ORDER BY at, length(p_name), p_name, p_partkey LIMIT 12")
+@query("""SELECT p_partkey, p_name, "at" FROM (SELECT p_partkey, p_name, instr(lower(p_name), 'ri') AS "at" FROM part) WHERE "at" > 0 ORDER BY "at", length(p_name), p_name, p_partkey LIMIT 12""")
 def search(spark, d):
     parts = source.scan(spark, d, "part").select("p_partkey", "p_name")
     found = parts.withColumn("at", F.instr(F.lower("p_name"), "ri").cast("long")).where("at > 0")
@@ -886,7 +886,7 @@ def cross_degree(spark, d):
     return serve.cross_degree(vector_graph(spark, d), vector_labels(spark, d))
 
 
-@query("WITH e AS (SELECT min(p_retailprice) AS a, max(p_retailprice) AS b FROM part) SELECT bin::INT AS bin, round(a + bin * (b - a) / 12, 6) AS lo, round(a + (bin + 1) * (b - a) / 12, 6) AS hi, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 12)) AS bin), e LEFT JOIN (SELECT least(11, floor((p_retailprice - a) / ((b - a) / 12)))::BIGINT AS bin, count(*) AS n FROM part, e GROUP BY 1) USING (bin)")
+@query("WITH e AS (SELECT min(p_retailprice) AS a, max(p_retailprice) AS b FROM part) SELECT bin::INT AS bin, round(a + bin * (b - a) / 12, 6) AS lo, round(a + (bin + 1) * (b - a) / 12, 6) AS hi, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT unnest(range(0, 12)) AS bin), e) LEFT JOIN (SELECT least(11, floor((p_retailprice - a) / ((b - a) / 12)))::BIGINT AS bin, count(*) AS n FROM part, e GROUP BY 1) USING (bin)")
 def histogram(spark, d):
     return r6(serve.histogram(source.scan(spark, d, "part"), "p_retailprice"))
 
@@ -914,10 +914,10 @@ def flat_edges(spark, d):
     return r6(source.flat_edges(profile_graph(spark, d)))
 
 
-@query("SELECT c_custkey, round(CASE WHEN c_nationkey = 0 THEN NULL ELSE c_acctbal / c_nationkey END, 4) AS v FROM customer")
+@query("SELECT c_custkey, round(CASE WHEN c_nationkey = 0 THEN NULL ELSE c_acctbal / c_nationkey END, 8) AS v FROM customer")
 def finite_records(spark, d):
     c = source.scan(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") == 0, F.lit(float("inf"))).otherwise(F.col("c_acctbal") / F.nullif("c_nationkey", F.lit(0))).alias("v"))
-    return source.records(c, ["c_custkey", "v"])
+    return source.records(c, ["c_custkey", "v"], 8)
 
 
 # ---- clustering (labels are defined up to names: rows only, tests judge recovery) -----
