@@ -64,7 +64,7 @@ def _bag(text: str, buckets: int, seen: dict[str, np.ndarray]) -> tuple[np.ndarr
     return kept.astype(np.int32), np.bincount(back, weight).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], prior: float, buckets: int = 1 << 15, dim: int = 8, epochs: int = 30, batch: int = 128, rate: float = 0.08, decay: float = 1e-6, seed: int = 11) -> Model:
+def fit(texts: list[str], labels: list[int], prior: float, buckets: int = 1 << 15, dim: int = 8, epochs: int = 30, batch: int = 128, rate: float = 0.08, decay: float = 5e-6, seed: int = 11) -> Model:
     """Adam on n-gram vectors and output vectors together; ``prior`` is the share of label 1 to calibrate to."""
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
