@@ -134,6 +134,18 @@ def mutual_information(a: DataFrame, b: DataFrame) -> DataFrame:
     return mi.crossJoin(ha).crossJoin(hb).select(F.when(mean == 0, 1.0).otherwise(F.greatest(F.col("mi"), F.lit(0.0)) / mean).alias("NMI"))
 
 
+def mutual_information_by(pairs: DataFrame, by: str) -> DataFrame:
+    """pairs(by, la, lb) -> (by, NMI): as ``mutual_information``, for each value of ``by``."""
+    t = pairs.groupBy(by, "la", "lb").agg(F.count(F.lit(1)).alias("n"))
+    total = t.groupBy(by).agg(F.sum("n").alias("all"))
+    ra, rb = (t.groupBy(by, k).agg(F.sum("n").alias(n)) for k, n in (("la", "na"), ("lb", "nb")))
+    mi = t.join(ra, [by, "la"]).join(rb, [by, "lb"]).join(total, by).groupBy(by).agg(F.sum(F.col("n") / F.col("all") * F.ln(F.col("n") * F.col("all") / (F.col("na") * F.col("nb")))).alias("mi"))
+    entropy = lambda r, n, h: r.join(total, by).groupBy(by).agg((-F.sum(F.col(n) / F.col("all") * F.ln(F.col(n) / F.col("all")))).alias(h))
+    mean = (F.col("ha") + F.col("hb")) / 2
+    joined = mi.join(entropy(ra, "na", "ha"), by).join(entropy(rb, "nb", "hb"), by)
+    return joined.select(by, F.when(mean == 0, 1.0).otherwise(F.greatest(F.col("mi"), F.lit(0.0)) / mean).alias("NMI"))
+
+
 def sizes(labels: DataFrame) -> DataFrame:
     """One row: clusters, min_share."""
     n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -720,12 +720,8 @@ def flows(spark, d):
 @query()
 def slice_nmi(spark, d):
     raw, lab = temporal.raw_path(emissions(spark, d)), types(spark, d)
-    periods = [r[0] for r in raw.select("period").distinct().orderBy("period").collect()]
-    out = None
-    for p in periods[:: max(1, len(periods) // 4)]:
-        one = indices.mutual_information(lab, raw.where(F.col("period") == p).select(F.col("entity").alias("id"), F.col("type").cast("long").alias("label"))).select(F.lit(p).alias("period"), "NMI")
-        out = one if out is None else out.union(one)
-    return r6(out)
+    both = raw.select(F.col("entity").alias("id"), "period", F.col("type").cast("long").alias("lb")).join(lab.select("id", F.col("label").alias("la")), "id")
+    return r6(indices.mutual_information_by(both, "period"))
 
 
 @query(sql("SELECT entity, array_to_string(list(type::VARCHAR ORDER BY period), '-') AS path FROM raw GROUP BY entity"))
@@ -977,7 +973,7 @@ def multislice(spark, d):
     from veldt.plans.experiments import multislice as measure
 
     x = features.as_vectors(panel_features(spark, d), ["entity", "period"])
-    return measure(x, 5, 0.2, 1.0, periods=4)
+    return measure(x, 5, 0.2, 1.0)
 
 
 assert set(HIGHER_IS_BETTER) == {"SW", "CH", "S_Dbw", "AVI", "AVU", "MQ"}
