@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,38 +28,50 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; only a local master may do without and gets a temporary folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veldt-stage-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Folders of the tables that ``written`` has made in this process, oldest first.
-_tables: list[str] = []
+#: The open scope's tables, or None outside of any.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Inside a ``scratch`` block the table goes when the block ends, unless ``keep``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    scope = _scope.get()
+    if scope is not None and not keep:
+        scope.append(path)
     df.write.parquet(path)
-    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tables_made() -> int:
-    return len(_tables)
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(folder, True)
 
 
-def drop_tables(spark: SparkSession, first: int, last: int) -> None:
-    """Delete the written tables first .. last - 1: nothing that still has to be computed may read them."""
-    for k in range(first, last):
-        if path := _tables[k]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(folder, True)
-            _tables[k] = ""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; what is still to be computed afterwards may only read kept ones."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in made:
+            delete(spark, path)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -80,6 +80,43 @@ WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {}
 
+ORACLE["op2_suffix_array_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS s FROM documents),
+g AS (
+  SELECT rid, i, md5_number(substr(s, 2 * i + 1, 400)) AS h
+  FROM (SELECT rid, s, unnest(range(0, length(s) // 2 - 199)) AS i FROM d)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM g) WHERE c > 1),
+q AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM r),
+m AS (SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM q),
+f AS (SELECT rid, run, min(i) AS a, max(i) + 200 AS b FROM m GROUP BY rid, run),
+e AS (SELECT rid, a, b, coalesce(lead(a) OVER (PARTITION BY rid ORDER BY a), 1073741824) AS next FROM f),
+k AS (
+  SELECT rid, sum(b - a)::BIGINT AS removed, count(*)::BIGINT AS spans, min(a) AS first,
+         string_agg(substr(s, 2 * b + 1, 2 * (next - b)), '' ORDER BY a) AS tail
+  FROM e JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (length(s) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN first IS NULL THEN s ELSE substr(s, 1, 2 * first) || tail END)) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
+ORACLE["op3_substring_dedup"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {WORDS_SQL} AS w FROM documents),
+g AS (
+  SELECT rid, i, md5_number(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM g) WHERE c > 1),
+p AS (SELECT rid, i AS a, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i), i + 35) AS b FROM r),
+x AS (SELECT rid, sum(least(b - a, 35))::BIGINT AS n FROM p GROUP BY rid),
+o AS (SELECT rid, unnest(range(a, least(b, a + 35))) AS i FROM p),
+k AS (
+  SELECT u.rid, string_agg(u.x, ' ' ORDER BY u.i) AS kept
+  FROM (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) u
+  LEFT JOIN o ON o.rid = u.rid AND o.i = u.i WHERE o.i IS NULL GROUP BY u.rid)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(x.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN x USING (rid) LEFT JOIN k USING (rid)
+"""
+
 ORACLE["op1_mixing"] = rf"""
 WITH d AS (
   SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size,

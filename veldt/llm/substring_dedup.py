@@ -3,7 +3,9 @@
 Seeds are the winnowed anchors of :mod:`veldt.llm.winnow`: texts are joined on the least
 12-word gram of each 35-word window. From a seed that two different stretches share, the
 match is extended to the left and to the right word by word; maximal matches of at least
-``span`` words are kept, and each window inside them is removed from both texts.
+``span`` words are kept, and each window inside them is removed from both texts. Seeds in
+more than ``CROWD`` different stretches are lengthened first, so no task grows with a
+passage's copies.
 
 Odd input: null and blank texts have no words; a text shorter than a window loses
 nothing; equal texts of at least a window lose all words; repeated rows count as copies
@@ -19,9 +21,10 @@ from functools import partial
 import numpy as np
 from pyspark.sql import DataFrame
 
-from veldt.llm.winnow import Words, covered, gram_hashes, remove_repeats
+from veldt.llm.winnow import Words, covered, remove_repeats
 
-CROWD = 48
+#: Different stretches of one seed that one task extends; beyond, they are dealt by longer seeds.
+CROWD = 1024
 
 
 def extend(a: list[bytes], i: int, b: list[bytes], j: int) -> tuple[int, int]:
@@ -35,18 +38,44 @@ def extend(a: list[bytes], i: int, b: list[bytes], j: int) -> tuple[int, int]:
     return left, right
 
 
-def solve(anchor: int, contents: list[bytes], counts: list[int], unit: Words) -> list[set[int]]:
+def _together(texts: list[list[bytes]], seeds: list[list[int]], span: int, gram: int) -> list[set[int]]:
+    """All seeds extended at once: a step to either side splits the classes that agree so far by their next word."""
+    ids: dict[bytes, int] = {}
+    flat = np.array([ids.setdefault(w, len(ids)) for t in texts for w in t], dtype=np.int64)
+    size = np.array([len(t) for t in texts])
+    text = np.repeat(np.arange(len(texts)), [len(s) for s in seeds])
+    place = np.array([p for s in seeds for p in s], dtype=np.int64)
+    base, size, n, width = (np.cumsum(size) - size)[text], size[text], len(text), span - gram + 1
+
+    def steps(depth: int, way: int) -> list[np.ndarray]:
+        """Class of each seed after 0, 1, .. depth words; a text that ends is alone from there on."""
+        out = [np.zeros(n, dtype=np.int64)]
+        for k in range(depth):
+            at = place + (k if way > 0 else -1 - k)
+            inside = (at >= 0) & (at < size)
+            word = np.where(inside, flat[np.where(inside, base + at, 0)], len(ids) + np.arange(n))
+            out.append(np.unique(out[-1] * (len(ids) + n) + word, return_inverse=True)[1])
+        return out
+
+    right, left = steps(span, 1), steps(width - 1, -1)
+    found: list[set[int]] = [set() for _ in texts]
+    for k in range(width):
+        _, joint, count = np.unique(right[span - k] * n + left[k], return_inverse=True, return_counts=True)
+        for r in np.flatnonzero(count[joint] > 1).tolist():
+            found[text[r]].add(int(place[r]) - k)
+    return found
+
+
+def solve(contents: list[bytes], counts: list[int], seeds: list[list[int]], unit: Words, few: int = 24) -> list[set[int]]:
     """Window positions of each stretch that also start in another (or elsewhere in itself).
 
-    Every stretch holds the seed, a gram whose hash is ``anchor``; windows whose least
-    gram is another one meet in that one's group, so other seeds are not looked at.
+    Every stretch holds the seed at ``seeds``; windows whose least gram is another one meet
+    in that one's group, so other seeds are not looked at. A few seeds are extended pair by
+    pair, more of them at once.
     """
-    texts, seeds = [], []
-    for content in contents:
-        symbols, _, words = unit.parse(content)
-        texts.append(words)
-        with np.errstate(over="ignore"):
-            seeds.append(np.flatnonzero(gram_hashes(symbols, unit.gram) == np.uint64(anchor)).tolist())
+    texts = [c.split() for c in contents]
+    if sum(map(len, seeds)) > few:
+        return _together(texts, seeds, unit.span, unit.gram)
     found: list[set[int]] = [set() for _ in texts]
     for s, a in enumerate(texts):
         for t in range(s, len(texts)):
@@ -84,4 +113,4 @@ class Finish:
 def dedup(df: DataFrame, span: int = 35, gram: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row."""
     unit = Words(span, gram)
-    return remove_repeats(df, unit, partial(solve, unit=unit), Finish(span), CROWD, 2 * span, doc_id, text)
+    return remove_repeats(df, unit, partial(solve, unit=unit), Finish(span), CROWD, 4, doc_id, text)

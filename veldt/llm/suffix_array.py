@@ -24,10 +24,10 @@ from functools import partial
 import numpy as np
 from pyspark.sql import DataFrame
 
-from veldt.llm.winnow import Bytes, covered, gram_hashes, remove_repeats
+from veldt.llm.winnow import Bytes, covered, remove_repeats
 
-#: Different stretches of one anchor that one task sorts; beyond, windows are counted by digest.
-CROWD = 6000
+#: Different stretches of one seed that one task sorts; beyond, they are dealt by longer seeds.
+CROWD = 1024
 
 
 def suffix_array(s: list[int] | bytes) -> list[int]:
@@ -127,17 +127,13 @@ def _reach(texts: list[bytes]) -> list[int]:
     return best
 
 
-def solve(anchor: int, contents: list[bytes], counts: list[int], unit: Bytes) -> list[set[int]]:
+def solve(contents: list[bytes], counts: list[int], seeds: list[list[int]], unit: Bytes) -> list[set[int]]:
     """Window positions of each stretch that start twice or more in the block of stretches."""
     span = unit.span
     found: list[set[int]] = [set() for _ in contents]
-    seeds = []
-    for c in contents:
-        with np.errstate(over="ignore"):
-            seeds.append(np.flatnonzero(gram_hashes(unit.parse(c)[0], unit.gram) == np.uint64(anchor)))
     if all(len(x) == 1 for x in seeds):
         # from the one seed no match reaches further than the longest agreement on either side
-        at = [int(x[0]) for x in seeds]
+        at = [x[0] for x in seeds]
         right = _reach([c[a:] for c, a in zip(contents, at, strict=True)])
         left = _reach([c[:a][::-1] for c, a in zip(contents, at, strict=True)])
         use = [(i, a - x, a + y) for i, (a, x, y) in enumerate(zip(at, left, right, strict=True)) if x + y >= span]
@@ -187,4 +183,4 @@ class Finish:
 def dedup(df: DataFrame, span: int = 200, gram: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row."""
     unit = Bytes(span, gram)
-    return remove_repeats(df, unit, partial(solve, unit=unit), Finish(span), CROWD, None, doc_id, text)
+    return remove_repeats(df, unit, partial(solve, unit=unit), Finish(span), CROWD, 8, doc_id, text)

@@ -5,8 +5,10 @@ rolling hash; a window of ``span`` symbols holds ``span - gram + 1`` of them and
 assigned to the least. Windows one after another with the same least value form a
 *domain*, one row of the anchor table. Equal windows have equal least values, so they
 lie in domains with the same anchor, wherever they are: nothing is sampled and nothing
-is lost. A domain that occurs twice as a whole is repeated throughout; only anchors
-that meet in *different* domains (the ends of repeats) need a look at the symbols.
+is lost. A domain that occurs twice as a whole is repeated throughout (wholes are told
+apart by two 64-bit hashes); only anchors that meet in *different* domains (the ends of
+repeats) need a look at the symbols. A seed that very many different domains share is
+lengthened until its stretches fit a task.
 
 The steps here are common to the two substring operators; each brings its own unit and
 its own kernel for the undecided groups.
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import written
+from veldt.llm.common import scratch, written
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
@@ -97,7 +99,8 @@ def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
         left >>= 1
         if left:
             have = have[:-length] * power + have[length:]
-            power = power * power
+            with np.errstate(over="ignore"):
+                power = power * power
             length *= 2
     out = out ^ (out >> np.uint64(29))
     out = out * np.uint64(0xBF58476D1CE4E5B9)
@@ -105,7 +108,11 @@ def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
 
 
 def domains(symbols: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, first window, windows, and whether the anchor's gram occurs twice inside (a text that overlaps itself)."""
+    """anchor, first window, windows, and whether the anchor's gram occurs twice inside (a text that overlaps itself).
+
+    A domain has as many windows as hold one gram at most; longer runs of one value (a text
+    of short period) are several domains, so no stretch grows with its text.
+    """
     none = np.zeros(0, dtype=np.int64)
     if len(symbols) < span:
         return none.astype(np.uint64), none, none, none.astype(bool)
@@ -119,6 +126,11 @@ def domains(symbols: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.n
         low = np.minimum(low[: len(low) - (width - w)], low[width - w :])
     at = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
     n = np.diff(np.r_[at, len(low)])
+    if n.max() > width:
+        parts = -(-n // width)
+        step = width * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        n = np.minimum(width, np.repeat(n, parts) - step)
+        at = np.repeat(at, parts) + step
     anchor = low[at]
     # does the anchor's gram occur again in reach of the domain's windows? only where a value repeats at all
     twice = np.zeros(len(at), dtype=bool)
@@ -187,19 +199,26 @@ def _pieces(batches: Iterator[pa.RecordBatch], unit) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([one.column("doc_id").take(take), one.column("k").take(take), *[some.field(x) for x in names], pa.array(content, pa.binary())], names=["doc_id", "k", *names, "content"])
 
 
+def seeds_in(content: bytes, anchor: int, unit) -> np.ndarray:
+    """Places of the anchor's gram in a stretch."""
+    with np.errstate(over="ignore"):
+        return np.flatnonzero(gram_hashes(unit.parse(content)[0], unit.gram) == np.uint64(anchor & MASK))
+
+
 def _kernel_groups(frames, unit, solve) -> Iterator:
-    """Whole groups of one anchor, in sorted order; solve(anchor, contents, counts) -> window positions of each."""
+    """Whole groups, in sorted order; solve(contents, counts, seeds of each) -> window positions of each."""
     import pandas as pd
 
     rest = None
 
     def run(f):
         out: dict[str, list] = {"i": [], "at": []}
-        anchors = f["v"].to_numpy()
-        cut = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
-        contents, counts, ats = f["content"].tolist(), f["c"].tolist(), f["at"].to_numpy()
+        groups = f["v"].to_numpy()
+        cut = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        contents, counts, ats, seeds = f["content"].tolist(), f["c"].tolist(), f["at"].to_numpy(), f["seed"].tolist()
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(f)], strict=True):
-            for i, found in enumerate(solve(int(anchors[a]) & MASK, contents[a:b], counts[a:b])):
+            places = [[s] if s >= 0 else seeds_in(c, int(groups[a]), unit).tolist() for s, c in zip(seeds[a:b], contents[a:b], strict=True)]
+            for i, found in enumerate(solve(contents[a:b], counts[a:b], places)):
                 if counts[a + i] == 1:
                     for p in sorted(found):
                         out["i"].append(a + i)
@@ -222,22 +241,48 @@ def _kernel_groups(frames, unit, solve) -> Iterator:
         yield run(rest)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], unit) -> Iterator[pa.RecordBatch]:
-    """Every window of a domain by its 128-bit digest (the exact way for crowded anchors)."""
+def _lengthened(batches: Iterator[pa.RecordBatch], unit, parts: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of a crowded seed, dealt by longer seeds.
+
+    A window holds the gram (the first in it, where there are several) at some offset. The
+    offsets are cut into ``parts`` intervals; all windows of an interval share the text from
+    its last window's start to its first window's end, and that text is the longer seed. Each
+    window of a stretch goes with exactly one seed. With an interval per offset the seed is
+    the window itself.
+    """
+    width = unit.span - unit.gram + 1
+    parts = min(parts, width)
+    edges = [(width * k // parts, width * (k + 1) // parts - 1) for k in range(parts)]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            rows, h1, h2, ats = [], [], [], []
-            for i, (content, first, n) in enumerate(zip(part.column("content").to_pylist(), part.column("at").to_pylist(), part.column("n").to_pylist(), strict=True)):
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            out: dict[str, list] = {x: [] for x in ("row", "v", "w", "at", "n", "seed", "content")}
+            for i, (content, v, first, n, seed, wide) in enumerate(zip(*(part.column(c).to_pylist() for c in ("content", "v", "at", "n", "seed", "wide")), strict=True)):
                 units = unit.units(content)
-                for p in range(n):
-                    d = xxhash.xxh3_128_digest(unit.piece(units, p, p + unit.span))
-                    rows.append(i)
-                    h1.append(int.from_bytes(d[:8], "little", signed=True))
-                    h2.append(int.from_bytes(d[8:], "little", signed=True))
-                    ats.append(first + p)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("k").take(take), part.column("c").take(take), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ats, pa.int32())], names=["doc_id", "k", "c", "h1", "h2", "at"])
+                # a seed that is longer already: its windows are those that start at most ``wide`` before it
+                places = seeds_in(content, v, unit).tolist() if seed < 0 else [seed]
+                for j, p in enumerate(places):
+                    least = max(places[j - 1] + 1 if j else 0, 0)
+                    for a, b in edges if seed < 0 else [(x, x) for x in range(wide + 1)]:
+                        lo, hi = max(least, p - b), min(n - 1, p - a)
+                        if lo > hi:
+                            continue
+                        # of a longer seed, offsets count from its start
+                        end = p + unit.span - b
+                        d = xxhash.xxh3_128_digest(b"%d %d " % (v, a) + unit.piece(units, p - a, end))
+                        out["row"].append(i)
+                        out["v"].append(int.from_bytes(d[:8], "little", signed=True))
+                        out["w"].append(int.from_bytes(d[8:], "little", signed=True))
+                        out["at"].append(first + lo)
+                        out["n"].append(hi - lo + 1)
+                        out["seed"].append(p - a - lo)
+                        out["content"].append(unit.piece(units, lo, hi + unit.span))
+            take = pa.array(out["row"], pa.int64())
+            wide = max(b - a for a, b in edges)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(take), part.column("k").take(take), part.column("c").take(take), *[pa.array(out[x], pa.int64()) for x in ("v", "w")], *[pa.array(out[x], pa.int32()) for x in ("at", "n", "seed")], pa.array([wide] * len(take), pa.int32()), pa.array(out["content"], pa.binary())],
+                names=["doc_id", "k", "c", "v", "w", "at", "n", "seed", "wide", "content"],
+            )
 
 
 def _finished(batches: Iterator[pa.RecordBatch], unit, finish) -> Iterator[pa.RecordBatch]:
@@ -264,39 +309,61 @@ def covered(spots: tuple[np.ndarray, np.ndarray], total: int, span: int) -> tupl
     return cover, int(cover.sum())
 
 
-def remove_repeats(df: DataFrame, unit, solve: Callable, finish: Callable, crowd: int, long_domain: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+SALTS = 16
+
+
+def _common(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows beside ``size``, the copies their group has, of groups of two or more; a group's rows are spread over several tasks."""
+    salt = F.pmod(F.xxhash64("doc_id", "k", "at"), F.lit(SALTS))
+    groups = rows.groupBy(*keys).agg(F.sum("c").alias("copies"), F.count("*").alias("size")).where("copies > 1")
+    groups = groups.select(*keys, "copies", "size", F.explode(F.array(*[F.lit(x).cast("long") for x in range(SALTS)])).alias("salt"))
+    return rows.withColumn("salt", salt.cast("long")).join(groups, [*keys, "salt"]).drop("salt")
+
+
+def remove_repeats(df: DataFrame, unit, solve: Callable, finish: Callable, crowd: int, parts: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Marks every window of ``unit.span`` symbols that also starts elsewhere and finishes each row with its marks.
 
-    solve: kernel for the domains of one anchor, at most ``crowd`` different ones; anchors with
-    more (or with a domain of over ``long_domain`` windows) are settled window by window.
+    solve: kernel for the stretches of one seed, at most ``crowd`` different ones. A seed with
+    more is lengthened: the stretches are dealt again by ``parts`` longer texts around it, and
+    those that still crowd by the whole windows, of which equal ones need no kernel.
     finish(raw text, (first windows, counts) or None) -> the result columns, named and typed by finish.names, finish.schema.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = f"doc_id {kind}"
-    anchors = written(docs.mapInArrow(partial(_anchor_rows, unit=unit), f"{ids}, v long, g long, k long, at int, n int, twice boolean"), "anchors")
-    met = anchors.groupBy("v").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("s")).where("s > 1").select("v")
-    met = written(anchors.join(met, "v", "left_semi"), "met")
-    same = met.groupBy("v", "g").agg(F.count("*").alias("c"), F.max("twice").alias("twice"), F.max("n").alias("n"), F.min(F.struct("doc_id", "k", "at")).alias("first"))
-    same = written(same, "domains")
-    group = same.groupBy("v").agg(F.count("*").alias("m"), F.max("twice").alias("t"), F.max("n").alias("far"))
-    hot = F.col("m") > crowd
-    if long_domain:
-        hot = hot | (F.col("far") > long_domain)
-    group = group.where("m > 1 or t").select("v", hot.alias("hot"))
-    full = met.join(same.where("c > 1").select("v", "g"), ["v", "g"]).select("doc_id", "k", "at", "n")
-    edges = same.join(group, "v").select("v", "g", "c", "n", "hot", "first.doc_id", "first.k", "first.at")
-    per_doc = edges.groupBy("doc_id", "k").agg(F.collect_list(F.struct("v", "g", "c", "at", "n", "hot")).alias("marks"))
-    packed = docs.mapInArrow(_packed, f"{ids}, k long, z binary")
-    left = packed.alias("p").join(per_doc.alias("m"), F.col("p.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("p.k") == F.col("m.k")))
-    pieces = left.select("p.doc_id", "p.k", "z", "marks").mapInArrow(partial(_pieces, unit=unit), f"{ids}, k long, v long, g long, c long, at int, n int, hot boolean, content binary")
-    pieces = written(pieces, "pieces")
-    calm = pieces.where("not hot").repartition("v").sortWithinPartitions("v", "g")
-    solved = calm.mapInPandas(partial(_kernel_groups, unit=unit, solve=solve), f"{ids}, k long, at int, n int")
-    windows = written(pieces.where("hot").mapInArrow(partial(_windows, unit=unit), f"{ids}, k long, c long, h1 long, h2 long, at int"), "windows")
-    twice = windows.groupBy("h1", "h2").agg(F.sum("c").alias("s")).where("s > 1").select("h1", "h2")
-    crowded = windows.where("c = 1").join(twice, ["h1", "h2"], "left_semi").select("doc_id", "k", "at", F.lit(1).alias("n"))
-    marks = full.union(solved).union(crowded).groupBy("doc_id", "k").agg(F.collect_set(F.struct("at", "n")).alias("marks"))
+    with scratch(df.sparkSession):
+        anchors = written(docs.mapInArrow(partial(_anchor_rows, unit=unit), f"{ids}, v long, g long, k long, at int, n int, twice boolean"), "anchors")
+        met = anchors.groupBy("v").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("s")).where("s > 1").select("v")
+        met = written(anchors.join(met, "v", "left_semi"), "met")
+        same = met.groupBy("v", "g").agg(F.count("*").alias("c"), F.max("twice").alias("twice"), F.max("n").alias("n"), F.min(F.struct("doc_id", "k", "at")).alias("first"))
+        same = written(same, "domains")
+        group = same.groupBy("v").agg(F.count("*").alias("m"), F.max("twice").alias("t"))
+        group = group.where("m > 1 or t").select("v", (F.col("m") > crowd).alias("hot"))
+        full = met.join(same.where("c > 1").select("v", "g"), ["v", "g"]).select("doc_id", "k", "at", "n")
+        edges = same.join(group, "v").select("v", "g", "c", "n", "hot", "first.doc_id", "first.k", "first.at")
+        per_doc = edges.groupBy("doc_id", "k").agg(F.collect_list(F.struct("v", "g", "c", "at", "n", "hot")).alias("marks"))
+        packed = docs.mapInArrow(_packed, f"{ids}, k long, z binary")
+        left = packed.alias("p").join(per_doc.alias("m"), F.col("p.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("p.k") == F.col("m.k")))
+        pieces = left.select("p.doc_id", "p.k", "z", "marks").mapInArrow(partial(_pieces, unit=unit), f"{ids}, k long, v long, g long, c long, at int, n int, hot boolean, content binary")
+        pieces = written(pieces, "pieces")
+        pieces = pieces.withColumn("seed", F.lit(-1))
+
+        def solved(calm: DataFrame, order: str) -> DataFrame:
+            calm = calm.select("doc_id", "k", "v", "c", "at", "seed", "content", order).repartition("v").sortWithinPartitions("v", order)
+            return calm.mapInPandas(partial(_kernel_groups, unit=unit, solve=solve), f"{ids}, k long, at int, n int")
+
+        marks = full.union(solved(pieces.where("not hot"), "g"))
+        hot = pieces.where("hot").withColumn("wide", F.lit(0))
+        if not hot.isEmpty():
+            rows = f"{ids}, k long, c long, v long, w long, at int, n int, seed int, wide int, content binary"
+            dealt = written(hot.mapInArrow(partial(_lengthened, unit=unit, parts=parts), rows), "lengthened")
+            dealt = written(_common(dealt, ["v"]), "crowds")
+            marks = marks.union(solved(dealt.where(F.col("size") <= crowd), "w"))
+            whole = dealt.where(F.col("size") > crowd).mapInArrow(partial(_lengthened, unit=unit, parts=unit.span), rows)
+            whole = written(whole.drop("content"), "windows")
+            marks = marks.union(_common(whole, ["v", "w"]).where("c = 1").select("doc_id", "k", "at", "n"))
+        marks = marks.groupBy("doc_id", "k").agg(F.collect_set(F.struct("at", "n")).alias("marks"))
+        marks = written(marks, "marks", keep=True)
     packed = docs.mapInArrow(_packed, f"{ids}, k long, z binary")
     done = packed.alias("p").join(marks.alias("m"), F.col("p.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("p.k") == F.col("m.k")), "left")
     return done.select("p.doc_id", "z", "marks").mapInArrow(partial(_finished, unit=unit, finish=finish), f"{ids}, {finish.schema}")
