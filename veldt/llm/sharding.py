@@ -1,11 +1,13 @@
 """Sharding by histogram sort: splitters are refined by exact byte counts, then rows move once.
 
-The sort key is ``(crc32 of the text, doc_id)``, so equal texts lie side by side and
-still a group larger than a shard is cut by ``doc_id``. Each round counts, in one
-distributed aggregation, the exact bytes below up to ``probes`` candidate boundaries
-inside every splitter's open interval; only those counts (at most splitters x probes
-rows) reach the driver. Rounds stop when each boundary is within ``tolerance`` of its
-target or a single key is left. One exchange on (shard, range) then numbers the rows.
+The sort key is ``(crc32 of the text, doc_id)``, so equal texts lie side by side. Each
+round counts, in one distributed aggregation, the exact bytes below up to ``probes``
+candidate boundaries inside every splitter's open interval; only those counts (at most
+splitters x probes rows) reach the driver. Rounds stop when each boundary is within
+``tolerance`` of its target or a single crc is left, of which the nearer edge becomes the
+boundary: equal texts stay in one shard. Only a group of more than ``whole`` of a shard's
+bytes, which would itself make sizes unequal, is cut, by ``doc_id``. One exchange on
+(shard, range) then numbers the rows.
 
 Odd input: a null text counts as empty (size 1, crc 0); null ids sort first; repeated
 rows are rows of their own; an empty table gives an empty result; extra columns are
@@ -20,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldt.llm.common import free_name, written
+from veldt.llm.common import free_name, scratch, written
 
 CRC_SPAN = 1 << 32
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
@@ -67,7 +69,7 @@ def offset_type(level: str) -> str:
     return "bigint" if level == "crc" else "decimal(20,0)"
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float = 1e-4, probes: int = 1024) -> tuple[list[Splitter], int]:
+def splitters(keys: DataFrame, shards: int, tolerance: float = 1e-4, probes: int = 1024, whole: float = 0.04) -> tuple[list[Splitter], int]:
     """Boundaries of ``shards`` key ranges of near equal bytes; keys: crc, id (long, not null), size."""
     total = keys.agg(F.sum("size")).first()[0] or 0
     slack = tolerance * total / shards
@@ -92,7 +94,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 1e-4, probes: int
                 over = seen + b
                 if s.target - seen <= slack:
                     open_.remove(s)  # the lower edge of the bin is the boundary
-                elif over - s.target <= slack or (hi - lo == 1 and level == "id"):
+                elif over - s.target <= slack or (hi - lo == 1 and (level == "id" or b <= whole * total / shards)):
                     if over - s.target <= s.target - seen:  # the upper edge is nearer
                         s.below = over
                         if level == "crc":
@@ -102,7 +104,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 1e-4, probes: int
                         else:
                             s.doc = hi
                     open_.remove(s)
-                elif hi - lo == 1:  # one crc value straddles the target: go on inside it, by id
+                elif hi - lo == 1:  # a large group straddles the target: go on inside it, by id
                     s.level, s.lo, s.hi = "id", LOWEST, HIGHEST + 1
     return found, total
 
@@ -134,28 +136,30 @@ def shard(df: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "t
     part, sub, base, of_shard, of_part, of_sub = (free_name(df, n) for n in ("range", "sub", "base", "of_shard", "of_range", "of_sub"))
     keep = [c for c in df.columns if c not in names] if carry else [doc_id]
     keyed = [k.alias(n) for k, n in zip(key_columns(F.col(text), F.col(doc_id)), (size, crc, id_), strict=True)]
-    if carry:
-        data = df.select(*keep, *keyed)
-        keys = written(data.select(F.col(size).alias("size"), F.col(crc).alias("crc"), F.col(id_).alias("id")), "shard-keys")
-    else:
-        data = written(df.select(*keep, *keyed), "shard-keys")
-        keys = data.select(F.col(size).alias("size"), F.col(crc).alias("crc"), F.col(id_).alias("id"))
-    found, _ = splitters(keys, shards, tolerance)
-    span = CRC_SPAN // ranges
-    in_range = lambda c: F.floor(F.col(c) / F.lit(span)).cast("int")
-    per_range = keys.groupBy(in_range("crc").alias("r")).count().collect()  # at most ``ranges`` rows
-    even = max(1, sum(x["count"] for x in per_range) // ranges)
-    ways = {x["r"]: -(-x["count"] // (4 * even)) for x in per_range if x["count"] > 8 * even}
-
-    def sub_of(r: Column, i: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for n in sorted(set(ways.values())):
-            out = F.when(r.isin([k for k, v in ways.items() if v == n]), F.pmod(F.xxhash64(i), F.lit(n))).otherwise(out)
-        return out
-
-    counts = keys.select(shard_of(F.col("crc"), F.col("id"), found).alias("shard"), in_range("crc").alias("r"), "id").groupBy("shard", "r", sub_of(F.col("r"), F.col("id")).alias("sub")).count()
-    before = Window.partitionBy("shard").orderBy("r", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    base_of = counts.select(F.col("shard").alias(of_shard), F.col("r").alias(of_part), F.col("sub").alias(of_sub), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+    with scratch(df.sparkSession):
+        if carry:
+            data = df.select(*keep, *keyed)
+            keys = written(data.select(F.col(size).alias("size"), F.col(crc).alias("crc"), F.col(id_).alias("id")), "shard-keys")
+        else:
+            data = written(df.select(*keep, *keyed), "shard-keys", keep=True)
+            keys = data.select(F.col(size).alias("size"), F.col(crc).alias("crc"), F.col(id_).alias("id"))
+        found, _ = splitters(keys, shards, tolerance)
+        span = CRC_SPAN // ranges
+        in_range = lambda c: F.floor(F.col(c) / F.lit(span)).cast("int")
+        per_range = keys.groupBy(in_range("crc").alias("r")).count().collect()  # at most ``ranges`` rows
+        even = max(1, sum(x["count"] for x in per_range) // ranges)
+        ways = {x["r"]: -(-x["count"] // (4 * even)) for x in per_range if x["count"] > 8 * even}
+
+        def sub_of(r: Column, i: Column) -> Column:
+            out = F.lit(0).cast("long")
+            for n in sorted(set(ways.values())):
+                out = F.when(r.isin([k for k, v in ways.items() if v == n]), F.pmod(F.xxhash64(i), F.lit(n))).otherwise(out)
+            return out
+
+        counts = keys.select(shard_of(F.col("crc"), F.col("id"), found).alias("shard"), in_range("crc").alias("r"), "id").groupBy("shard", "r", sub_of(F.col("r"), F.col("id")).alias("sub")).count()
+        before = Window.partitionBy("shard").orderBy("r", "sub").rowsBetween(Window.unboundedPreceding, -1)
+        base_of = counts.select(F.col("shard").alias(of_shard), F.col("r").alias(of_part), F.col("sub").alias(of_sub), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+        base_of = written(base_of, "shard-bases", keep=True)
     data = data.select("*", shard_of(F.col(crc), F.col(id_), found).alias("shard"), in_range(crc).alias(part))
     data = data.withColumn(sub, sub_of(F.col(part), F.col(id_)))
     # the one exchange: numbering inside (shard, range, sub); the offsets are at most shards x ranges + subs rows
