@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veldt.llm import components, decontaminate, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_array, token_counts, toxicity, warc
+from veldt.llm import components, decontaminate, mixing, near_copies, quality_rules, sharding, simhash, substring_dedup, suffix_array, token_counts, toxicity, warc
+
+from veldt.llm.winnow import Words, gram_hashes, seeds_in
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _size int, fp int, _key string"
 
@@ -93,7 +95,7 @@ def test_mixture_is_what_the_plan_says(spark):
 # ---- 2 and 3 repeats -----------------------------------------------------------------
 
 
-@pytest.mark.parametrize("crowd", [6000, 8])
+@pytest.mark.parametrize("crowd", [1024, 8, 1])
 def test_suffix_array_dedup_matches_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(suffix_array, "CROWD", crowd)
     texts = odd_texts()
@@ -105,7 +107,7 @@ def test_suffix_array_dedup_matches_brute_force(spark, monkeypatch, crowd):
         assert got[i] == (len(raw[i]), sum(cover), spans, hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize("crowd", [48, 3])
+@pytest.mark.parametrize("crowd", [1024, 8, 1])
 def test_substring_dedup_matches_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(substring_dedup, "CROWD", crowd)
     texts = odd_texts()
@@ -116,6 +118,33 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch, crowd):
         assert got[i] == (len(words[i]), sum(cover), hashlib.sha256(kept).hexdigest())
 
 
+def test_many_seeds_at_once_find_what_pairs_find():
+    rng = random.Random(12)
+    unit = Words(35, 12)
+    for _ in range(40):
+        core = rng.choices("abc", k=12)
+        texts = [[*rng.choices("xy", k=rng.randint(0, 3)), *["q"] * rng.randint(0, 20), *core, *["r"] * rng.randint(0, 20), *rng.choices("xy", k=rng.randint(0, 3))] for _ in range(30)]
+        contents = [" ".join(t).encode() for t in texts if len(t) >= 35]
+        anchor = int(gram_hashes(unit.parse(" ".join(core).encode())[0], 12)[0])
+        seeds = [seeds_in(c, anchor, unit).tolist() for c in contents]
+        counts = [1] * len(contents)
+        assert substring_dedup.solve(contents, counts, seeds, unit, few=0) == substring_dedup.solve(contents, counts, seeds, unit, few=10_000)
+
+
+@pytest.mark.parametrize("dedup, span", [(suffix_array.dedup, 200), (substring_dedup.dedup, 35)])
+def test_repeats_of_odd_rows(spark, dedup, span):
+    """Null ids, identical rows, an empty table, and a text of one short period whose pieces stay small."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = documents(spark, [text, text, None, text[:703], "other"], [None, None, None, 4, 5])
+    got = Counter(tuple(r)[:3] for r in dedup(rows.union(rows.where("doc_id = 5"))).collect())
+    size = len if span == 200 else lambda t: len(t.split())
+    part = size(text[:703]) - (span == 35)  # the last word is cut, so it differs
+    assert got == Counter({(None, size(text), size(text)): 2, (None, 0, 0): 1, (4, size(text[:703]), part): 1, (5, size("other"), 0): 2})
+    assert dedup(rows.limit(0)).count() == 0
+    long = documents(spark, ["ab " * 400_000, "abc " * 100_000 + "end"])
+    assert [tuple(r)[1:3] for r in dedup(long).orderBy("doc_id").collect()] == ([(1_200_000, 1_200_000), (400_003, 400_000)] if span == 200 else [(400_000, 400_000), (100_001, 100_000)])
+
+
 def test_suffix_array_sorts():
     rng = random.Random(3)
     for _ in range(1500):
@@ -237,6 +266,25 @@ def test_shards_are_even_and_gapless(spark, texts):
     assert [r["text_crc32"] // (2**32 // 4096) for r in ordered] == sorted(r["text_crc32"] // (2**32 // 4096) for r in rows)
 
 
+def test_groups_stay_whole(spark):
+    """Only a group of more than 4 % of a shard may be cut, and sizes stay near."""
+    rng = random.Random(8)
+    texts = [rng.randbytes(rng.randint(1, 300)).hex() for _ in range(400)]
+    rows = sharding.shard(documents(spark, texts * 5), 8).collect()
+    size, shards = Counter(), defaultdict(set)
+    for r in rows:
+        size[r["text_crc32"]] += r["size"]
+        shards[r["text_crc32"]].add(r["shard"])
+    each = sum(size.values()) / 8
+    assert all(len(s) == 1 for c, s in shards.items() if size[c] <= 0.04 * each)
+    of = Counter()
+    for r in rows:
+        of[r["shard"]] += r["size"]
+    assert max(abs(x - each) for x in of.values()) <= 0.04 * each
+    one = sharding.shard(documents(spark, ["the same"] * 800), 8).collect()  # one group of all: cut
+    assert max(Counter(r["shard"] for r in one).values()) <= 101
+
+
 def test_sharding_keeps_columns_and_takes_empty_tables(spark):
     d = documents(spark, ["a", None, "b", "b"], [1, None, 2, 2])
     out = sharding.shard(d, 2, carry=True)
@@ -272,6 +320,20 @@ def test_index_links_what_brute_force_links(spark):
         assert groups(np.array([root(i) for i in range(len(fps))])) == groups(want)
 
 
+def test_fingerprints_match_an_independent_majority(spark):
+    """Spark's own xxhash64 is XXH64 with seed 42; bits are counted one by one."""
+    rng = random.Random(17)
+    texts = ["Ab  c\td e", "one", "one TWO", None, "É ß É ß É", " ".join(rng.choices(["a", "B", "c", "ü"], k=400))]
+    got = {r["doc_id"]: r["fp"] for r in simhash.fingerprints(documents(spark, texts)).collect()}
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+    for i, t in enumerate(texts):
+        w = low(t)
+        grams = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+        hashes = [r[0] % 2**64 for r in spark.createDataFrame([(g,) for g in grams], "g string").select(F.xxhash64("g")).collect()]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert got[i] % 2**64 == want
+
+
 def test_classes_and_survivors(spark):
     texts = ["A b c d", "a B c d", "a b c d e f g", None, "", " ", "Zz", "a b c d"]
     ids = [5, 3, 7, 11, 10, None, 20, 3]
@@ -283,10 +345,10 @@ def test_classes_and_survivors(spark):
     comp = {(r["doc_id"], r["fp"]): r["component_id"] for r in rows}
     assert {v for (i, _), v in comp.items() if i in (5, 3)} == {3}
     assert {v for (i, _), v in comp.items() if i in (10, 11, None)} == {10}
-    kept = simhash.keep_one(d)
+    kept = near_copies.keep_one(d)
     assert kept.columns == d.columns
     assert kept.count() == len(set(comp.values()))
-    assert simhash.keep_one(documents(spark, ["q w e"] * 6, [1] * 6)).count() == 1
+    assert near_copies.keep_one(documents(spark, ["q w e"] * 6, [1] * 6)).count() == 1
     assert simhash.classes(d.limit(0)).count() == 0
 
 

@@ -33,17 +33,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of one comparable type -> (node, root): the least node reachable; roots themselves have no row.
 
     Self loops and repeated edges are ignored; an empty table gives an empty result.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(now)
-    for _ in range(rounds):
+    while True:  # every round that changes anything brings some node nearer to its least one
         now = written(_small_star(_large_star(now)), "edges")
         after = _state(now)
         if after == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = after
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldt.llm.common import SPACE_RUN, SPACES, free_name, words, written
+from veldt.llm.common import SPACE_RUN, SPACES, free_name, scratch, words, written
 
 WEIGHT_CYCLE = (5, 2, 1)
 
@@ -88,7 +88,7 @@ def _decisions(rows: DataFrame, share: float, max_epochs: int, cycle: tuple[int,
     steps = steps.withColumn("before", F.coalesce(F.sum(F.col("m") * F.col("_size")).over(order), F.lit(0)))
     end = steps.where("before <= left and left < before + m * _size").select(F.col("source").alias("_s"), F.col("_key").alias("end_key"), F.col("_size").alias("end_size"), F.floor((F.col("left") - F.col("before")) / F.col("m")).cast("long").alias("part"))
     out = totals.join(end, F.col("source").eqNullSafe(F.col("_s")), "left")
-    return written(out.select("source", "source_size", "target", "whole", "extra", "end_key", "end_size", "part"), "mix-plan")
+    return written(out.select("source", "source_size", "target", "whole", "extra", "end_key", "end_size", "part"), "mix-plan", keep=True)
 
 
 def _taken(rows: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -106,8 +106,10 @@ def plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     digits: leading hexadecimal digits of the seeded hash that make a bucket (3: 4096 per source).
     """
-    rows = written(_sized(df, doc_id, text, source, seed, [F.col(doc_id).alias("doc_id")]), "mix-sizes")
-    out = _taken(rows, _decisions(rows, share, max_epochs, cycle, digits))
+    with scratch(df.sparkSession):
+        rows = written(_sized(df, doc_id, text, source, seed, [F.col(doc_id).alias("doc_id")]), "mix-sizes", keep=True)
+        decisions = _decisions(rows, share, max_epochs, cycle, digits)
+    out = _taken(rows, decisions)
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
@@ -118,10 +120,12 @@ def materialise(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     the plan takes, white space between them normalised to one space. Texts are read,
     not shuffled: what decides about a row is one small row per source.
     """
-    rows = written(_sized(df, doc_id, text, source, seed, []), "mix-sizes")
+    with scratch(df.sparkSession):
+        rows = written(_sized(df, doc_id, text, source, seed, []), "mix-sizes")
+        decisions = _decisions(rows, share, max_epochs, cycle, digits)
     row = free_name(df, "row")
     packed = _sized(df, doc_id, text, source, seed, [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row)])
-    mixed = _taken(packed, _decisions(rows, share, max_epochs, cycle, digits))
+    mixed = _taken(packed, decisions)
     whole = F.when(F.col("_size") > 0, F.floor(F.col("taken") / F.col("_size"))).otherwise(0).cast("int")
     part = (F.col("taken") - whole * F.col("_size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))

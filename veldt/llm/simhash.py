@@ -16,7 +16,7 @@ bucket answers with links to one local root per fingerprint, never with all pair
 Odd input: null and blank texts have fingerprint 0 and are linked like any other;
 repeated rows and equal texts share a fingerprint; null ids never become a component
 id unless all ids of the component are null; an empty table gives an empty result;
-extra columns are ignored here and kept by ``keep_one``.
+extra columns are ignored. :mod:`veldt.llm.near_copies` drops near copies with this index.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import free_name, written
+from veldt.llm.common import scratch, written
 from veldt.llm.components import components
 
 FANOUT = 8
@@ -45,7 +45,11 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
         return 0
     grams = map(b" ".join, zip(*[w[i:] for i in range(size)], strict=False)) if len(w) >= size else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, seed) for g in grams], dtype=np.uint64)
+    return majority(np.array([digest(g, seed) for g in grams], dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits, each set if it is in over half the hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), 1 << 15):
         piece = h[at : at + (1 << 15)]
@@ -237,32 +241,11 @@ def links(fps: DataFrame, distance: int = 2, most: int = 2048) -> DataFrame:
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
     """One row per input row: doc_id, fp, component_id (least doc_id reachable)."""
-    docs = written(fingerprints(df, doc_id, text, size, seed), "simhash-docs")
-    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(fps.select("fp"), distance))
-    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    with scratch(df.sparkSession):
+        docs = written(fingerprints(df, doc_id, text, size, seed), "simhash-docs", keep=True)
+        fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+        roots = components(links(fps.select("fp"), distance))
+        rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-named", keep=True)
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
-    """The rows of ``df`` that are first of their component (least doc_id; of repeated rows, one).
-
-    Who stays is decided on ids, fingerprints and hashes of the texts; texts move once, to be
-    joined with the rows that stay.
-    """
-    ident = lambda i, t: (F.xxhash64(i, t), F.xxhash64(t, F.lit(1), i))  # noqa: E731  of the row, not null
-    h1, h2, n = free_name(df, "h1"), free_name(df, "h2"), free_name(df, "n")
-    keys = F.struct(F.col(doc_id).alias("id"), *[h.alias(x) for h, x in zip(ident(F.col(doc_id), F.col(text)), ("h1", "h2"), strict=True)])
-    packed = df.select(keys.alias("doc_id"), F.col(text).alias("text"))
-    docs = written(fingerprints(packed, "doc_id", "text", size, seed), "simhash-docs").select("doc_id.*", "fp")
-    fps = written(docs.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("least")), "simhash-distinct")
-    roots = components(links(fps.select("fp"), distance))
-    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
-    stay = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.h1").alias(h1), F.col("least.h2").alias(h2)), "simhash-stay")
-    keyed = df.select("*", *[h.alias(x) for h, x in zip(ident(F.col(doc_id), F.col(text)), (h1, h2), strict=True)])
-    first = keyed.join(stay, [h1, h2], "left_semi")
-    # repeated rows are alike in id and text: one of them stays
-    once = first.withColumn(n, F.row_number().over(Window.partitionBy(h1, h2).orderBy(h1))).where(F.col(n) == 1)
-    return once.drop(h1, h2, n)
