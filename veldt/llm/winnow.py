@@ -310,6 +310,7 @@ def covered(spots: tuple[np.ndarray, np.ndarray], total: int, span: int) -> tupl
 
 
 SALTS = 16
+HEAVY = 10_000
 
 
 def _common(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -333,8 +334,12 @@ def remove_repeats(df: DataFrame, unit, solve: Callable, finish: Callable, crowd
     ids = f"doc_id {kind}"
     with scratch(df.sparkSession):
         anchors = written(docs.mapInArrow(partial(_anchor_rows, unit=unit), f"{ids}, v long, g long, k long, at int, n int, twice boolean"), "anchors")
-        met = anchors.groupBy("v").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("s")).where("s > 1").select("v")
-        met = written(anchors.join(met, "v", "left_semi"), "met")
+        met = anchors.groupBy("v").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("s"), F.count("*").alias("rows")).where("s > 1").select("v", "rows")
+        met = written(met, "met-keys")
+        # anchors with more than a part in HEAVY of all rows are fewer than HEAVY: rows are matched with those where they lie
+        many = met.where(F.col("rows") > anchors.count() // HEAVY).select("v")
+        light = anchors.join(F.broadcast(many), "v", "left_anti").join(met.join(F.broadcast(many), "v", "left_anti"), "v", "left_semi")
+        met = written(light.union(anchors.join(F.broadcast(many), "v", "left_semi")), "met")
         same = met.groupBy("v", "g").agg(F.count("*").alias("c"), F.max("twice").alias("twice"), F.max("n").alias("n"), F.min(F.struct("doc_id", "k", "at")).alias("first"))
         same = written(same, "domains")
         group = same.groupBy("v").agg(F.count("*").alias("m"), F.max("twice").alias("t"))
