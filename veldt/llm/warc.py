@@ -4,7 +4,10 @@ An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dicti
 every record follows as a frame of its own, compressed with it. The reader takes the
 dictionary from that frame, decodes frame by frame from a stream, and checks the version
 line, the mandatory fields, the block length, the record's end and, for whole payloads,
-the digest; anything else raises ``WarcError``.
+the digest; anything else raises ``WarcError``. Archives of other writers are read too:
+version 1.0 or 1.1, field names in any case, folded fields, any record id (``page_id`` is
+null unless the id names a page), HTTP without a length, further skippable frames, no
+dictionary at all; records of other types are checked and passed over.
 
 A task writes one archive: first under a name of its attempt, then moved over the name of
 its partition, so a lost executor's archive is written again in whole and never read in
@@ -37,6 +40,9 @@ from veldt.llm.common import shared_dir, written
 
 DICT_MAGIC = 0x184D2A5D
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", VERSION)
+FRAME_MAGIC = 0xFD2FB528
+SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
@@ -54,12 +60,9 @@ def _urn(page_id) -> str:
 
 
 def _page(urn: str | None) -> int | None:
-    if urn is None:
-        return None
-    if not (urn.startswith("<urn:page:") and urn.endswith(">")):
-        raise WarcError(f"record id {urn!r}")
-    name = urn[10:-1]
-    return None if name == "--" else int(name)
+    """The page that a record id names; of other writers' ids, none."""
+    name = urn[10:-1] if urn is not None and urn.startswith("<urn:page:") and urn.endswith(">") else ""
+    return int(name) if name.removeprefix("-").isascii() and name.removeprefix("-").isdigit() else None
 
 
 def record(page_id, url: str | None, payload: bytes, refers_to, is_revisit: bool, payload_digest: str, date: str) -> bytes:
@@ -77,55 +80,93 @@ def record(page_id, url: str | None, payload: bytes, refers_to, is_revisit: bool
     return VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Fields and block of one record, validated."""
-    head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not gap or lines[0] != VERSION:
-        raise WarcError(f"version line {lines[0][:40]!r}")
-    fields: dict[str, str] = {}
-    for line in lines[1:]:
+def _fields(head: bytes) -> Iterator[tuple[str, str]]:
+    """(lower-case name, value) of header lines; a line that begins with a blank goes on with the one before."""
+    lines: list[bytes] = []
+    for line in head.split(b"\r\n"):
+        if line[:1] in (b" ", b"\t") and lines:
+            lines[-1] += b" " + line.strip()
+        else:
+            lines.append(line)
+    for line in lines:
         name, colon, value = line.partition(b":")
         if not colon or not name or name.strip() != name:
             raise WarcError(f"field {line[:40]!r}")
-        fields[name.decode()] = value.strip().decode()
+        try:
+            yield name.decode().lower(), value.strip().decode()
+        except UnicodeDecodeError as e:
+            raise WarcError(f"field {line[:40]!r} is not UTF-8") from e
+
+
+def _length(value: str) -> int:
+    if not (value.isascii() and value.isdigit()):
+        raise WarcError("Content-Length is no number")
+    return int(value)
+
+
+def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Fields (by lower-case name) and block of one record, validated."""
+    head, gap, rest = raw.partition(b"\r\n\r\n")
+    version, _, lines = head.partition(b"\r\n")
+    if not gap or version not in VERSIONS:
+        raise WarcError(f"version line {version[:40]!r}")
+    fields: dict[str, str] = {}
+    for name, value in _fields(lines):
+        if name in fields and name != "warc-concurrent-to":
+            raise WarcError(f"{name} is named twice")
+        fields[name] = value
     for name in MANDATORY:
-        if name not in fields:
+        if name.lower() not in fields:
             raise WarcError(f"{name} is missing")
-    if not fields["Content-Length"].isdigit():
-        raise WarcError("Content-Length is no number")
-    n = int(fields["Content-Length"])
+    n = _length(fields["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise WarcError(f"block of {len(rest) - 4} bytes, {n} announced")
     return fields, rest[:n]
 
 
-def read_record(raw: bytes) -> tuple[int | None, int, str, str, int | None, bytes | None]:
-    """page_id, payload bytes, digest, record type, refers_to, payload (None for a revisit)."""
+def _sha1(fields: dict[str, str]) -> str | None:
+    method, _, named = fields.get("warc-payload-digest", "").partition(":")
+    if method.lower() == "sha1" and len(named) != 32:
+        raise WarcError("payload digest")
+    return named.upper() if method.lower() == "sha1" else None
+
+
+def read_record(raw: bytes) -> tuple[int | None, int | None, str | None, str, int | None, bytes | None] | None:
+    """page_id, payload bytes, digest, record type, refers_to, payload (None for a revisit); None for other types."""
     fields, block = parse(raw)
-    kind = fields["WARC-Type"]
+    kind, named = fields["warc-type"], _sha1(fields)
     if kind not in ("response", "revisit"):
-        raise WarcError(f"record type {kind!r}")
+        return None
+    page = _page(fields["warc-record-id"])
     http, gap, payload = block.partition(b"\r\n\r\n")
-    status, *lines = http.split(b"\r\n")
-    if not gap or not status.startswith(b"HTTP/"):
+    status, _, lines = http.partition(b"\r\n")
+    if kind == "response" and not fields.get("content-type", "").lower().startswith("application/http"):
+        n, payload = len(block), block  # the payload as it is
+    elif not gap or not status.startswith(b"HTTP/"):
         raise WarcError("no HTTP header")
-    lengths = [x.partition(b":")[2].strip() for x in lines if x.lower().startswith(b"content-length:")]
-    if len(lengths) != 1 or not lengths[0].isdigit():
-        raise WarcError("no HTTP Content-Length")
-    n = int(lengths[0])
-    method, _, named = fields.get("WARC-Payload-Digest", "").partition(":")
-    if method != "sha1" or len(named) != 32:
-        raise WarcError("no payload digest")
+    else:
+        lengths = {v for k, v in _http_fields(lines) if k == "content-length"}
+        if len(lengths) > 1:
+            raise WarcError("HTTP Content-Length is named twice")
+        n = _length(lengths.pop()) if lengths else None
     if kind == "revisit":
-        if payload or fields.get("WARC-Profile") != REVISIT or "WARC-Refers-To" not in fields:
+        if payload or "warc-profile" not in fields:
             raise WarcError("malformed revisit")
-        return _page(fields["WARC-Record-ID"]), n, named, kind, _page(fields["WARC-Refers-To"]), None
-    if len(payload) != n:
+        return page, n, named, kind, _page(fields.get("warc-refers-to")), None
+    if n is not None and len(payload) != n:
         raise WarcError(f"payload of {len(payload)} bytes, {n} announced")
-    if digest(payload) != named:
+    found = digest(payload)
+    if named is not None and found != named:
         raise WarcError("payload digest differs")
-    return _page(fields["WARC-Record-ID"]), n, named, kind, None, payload
+    return page, len(payload), found, kind, None, payload
+
+
+def _http_fields(lines: bytes) -> Iterator[tuple[str, str]]:
+    """Servers send what they like: only well-formed lines count."""
+    for line in lines.split(b"\r\n"):
+        name, colon, value = line.partition(b":")
+        if colon:
+            yield name.strip().decode("latin-1").lower(), value.strip().decode("latin-1")
 
 
 def train(samples: list[bytes], size: int) -> bytes:
@@ -137,20 +178,34 @@ def train(samples: list[bytes], size: int) -> bytes:
 
 def frames(stream, chunk: int = 1 << 18) -> Iterator[bytes]:
     """Decoded records of one archive, one per frame."""
-    head = stream.read(8)
-    if len(head) < 8:
-        raise WarcError("no dictionary frame")
-    magic, size = struct.unpack("<II", head)
-    if magic != DICT_MAGIC:
-        raise WarcError(f"leading frame {magic:#x}")
-    body = stream.read(size)
-    if len(body) != size:
-        raise WarcError("dictionary frame cut short")
-    if body[:4] == b"\x28\xb5\x2f\xfd":  # the dictionary may itself be compressed
-        body = zstandard.ZstdDecompressor().decompress(body)
-    ctx = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body))
-    left = stream.read(chunk)
-    while left:
+    left, ctx, first = b"", zstandard.ZstdDecompressor(), True
+    while True:
+        while len(left) < 8 and (more := stream.read(chunk)):
+            left += more
+        if not left and not first:
+            return
+        if len(left) < 8:
+            raise WarcError("frame cut short" if left else "empty archive")
+        magic, size = struct.unpack("<II", left[:8])
+        if magic in SKIPPABLE:
+            while len(left) < 8 + size:
+                more = stream.read(max(chunk, 8 + size - len(left)))
+                if not more:
+                    raise WarcError("skippable frame cut short")
+                left += more
+            body, left = left[8 : 8 + size], left[8 + size :]
+            if magic == DICT_MAGIC and first:
+                try:
+                    if body[:4] == b"\x28\xb5\x2f\xfd":  # the dictionary may itself be compressed
+                        body = zstandard.ZstdDecompressor().decompress(body)
+                    ctx = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body))
+                except zstandard.ZstdError as e:
+                    raise WarcError(f"dictionary: {e}") from e
+            first = False
+            continue
+        if magic != FRAME_MAGIC:
+            raise WarcError(f"frame {magic:#x}")
+        first = False
         one, out = ctx.decompressobj(), []
         while True:
             try:
@@ -164,8 +219,6 @@ def frames(stream, chunk: int = 1 << 18) -> Iterator[bytes]:
             if not left:
                 raise WarcError("last frame cut short")
         yield b"".join(out)
-        if not left:
-            left = stream.read(chunk)
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes, date: str, level: int) -> Iterator[pa.RecordBatch]:
@@ -215,7 +268,10 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
             with store.open_input_stream(name, compression=None) as stream:
                 rows: list[tuple] = []
                 for raw in frames(stream):
-                    rows.append(read_record(raw))
+                    row = read_record(raw)
+                    if row is None:
+                        continue
+                    rows.append(row)
                     if len(rows) >= 256:
                         yield _batch(rows, payloads)
                         rows = []
@@ -231,7 +287,7 @@ def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to (and payload) of every record under ``folder``."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (and payload) of every response and revisit under ``folder``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path")
     n = max(1, min(10_000, files.count()))
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
