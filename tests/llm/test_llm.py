@@ -190,9 +190,67 @@ def test_broken_archives_are_refused():
             list(warc.frames(io.BytesIO(bad)))
 
 
+def test_archives_of_other_writers_are_read():
+    import io
+
+    import zstandard
+
+    def made(*fields, block=b"", version=b"WARC/1.0"):
+        return version + b"\r\n" + b"".join(f + b"\r\n" for f in (*fields, b"content-length: %d" % len(block))) + b"\r\n" + block + b"\r\n\r\n"
+
+    ids = (b"warc-record-id: <urn:uuid:b92e8444-34cf-472f-a86e-07b7845ecc05>", b"WARC-DATE: 2016-09-19T17:20:24Z")
+    info = made(b"WARC-Type: warcinfo", *ids, block=b"software: some")
+    plain = made(b"Warc-Type: response", *ids, b"Content-Type: application/http;", b" msgtype=response", block=b"HTTP/1.0 200 OK\r\nServer \xff\r\n\r\nabc")
+    again = made(b"warc-type: revisit", *ids, b"warc-profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", b"content-type: application/http", block=b"HTTP/1.1 200 OK\r\n\r\n")
+    assert warc.read_record(info) is None
+    assert warc.read_record(plain) == (None, 3, warc.digest(b"abc"), "response", None, b"abc")
+    assert warc.read_record(again) == (None, None, None, "revisit", None, None)
+    zip_ = zstandard.ZstdCompressor()
+    skip = struct.pack("<II", 0x184D2A51, 4) + b"meta"
+    assert list(warc.frames(io.BytesIO(zip_.compress(info) + skip + zip_.compress(plain)))) == [info, plain]
+    for bad in (made(b"warc-type: response", *ids, b"Content-Length: 0"), made(b"warc-type: \xff", *ids), made(b"warc-type: response", *ids, version=b"WARC/2.0"), made(b"warc-type: response", *ids, b"content-type: application/http", block=b"none")):
+        with pytest.raises(warc.WarcError):
+            warc.read_record(bad)
+
+
 # ---- 5 toxicity ----------------------------------------------------------------------
 
 
+def test_fit_is_what_dense_matrices_give():
+    """The model by an independent, dense computation: every gradient in full, n-gram vectors and outputs together."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=rng.randint(1, 9))) for _ in range(40)]
+    labels = [int("delta" in t) for t in texts]
+    buckets, dim, batch, rate, decay = 64, 3, 16, 0.05, 1e-3
+    got = toxicity.fit(texts, labels, 0.3, buckets=buckets, dim=dim, epochs=200, batch=batch, rate=rate, decay=decay, seed=4)
+    x = np.zeros((len(texts), buckets))
+    for i, t in enumerate(texts):
+        for w in t.split():
+            g = toxicity.grams(w, buckets)
+            for b in g:
+                x[i, b] += 1 / len(g) / len(t.split())
+    y = np.eye(2)[labels]
+    weight = np.where(y[:, 1] > 0, 0.3 / y[:, 1].mean(), 0.7 / y[:, 0].mean())
+    r = np.random.default_rng(4)
+    p = [r.uniform(-1 / dim, 1 / dim, (buckets, dim)), r.normal(0, 0.5, (dim, 2)), np.array([0, np.log(0.3 / 0.7)])]
+    m, v, step = [0 * q for q in p], [0 * q for q in p], 0
+    for epoch in range(200):
+        order = r.permutation(len(y))
+        for at in range(0, len(y), batch):
+            k = order[at : at + batch]
+            z = np.exp(x[k] @ p[0] @ p[1] + p[2])
+            e = (z / z.sum(1, keepdims=True) - y[k]) * weight[k, None] / len(k)
+            grad = [x[k].T @ e @ p[1].T + decay * p[0], (x[k] @ p[0]).T @ e, e.sum(0)]
+            step += 1
+            for j, g in enumerate(grad):
+                m[j] = 0.9 * m[j] + 0.1 * g
+                v[j] = 0.999 * v[j] + 0.001 * g**2
+                p[j] = p[j] - rate * (1 - epoch / 200) * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.999**step)) + 1e-9)
+    model = toxicity.Model(p[0] @ (p[1][:, 1] - p[1][:, 0]), p[2][1] - p[2][0])
+    want = 1 / (1 + np.exp(-(x @ model.pull + model.bias)))
+    assert np.abs(np.array([toxicity.score(t, got, {}) for t in texts]) - want).max() < 0.02
+
+
 def test_toxicity_learns_misspellings(spark):
     rng = random.Random(8)
     plain = ["".join(rng.choices("aeioulnrst", k=rng.randint(2, 8))) for _ in range(400)]

@@ -117,6 +117,19 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(x.n, 0)::BIGINT AS n_remove
 FROM d LEFT JOIN x USING (rid) LEFT JOIN k USING (rid)
 """
 
+ORACLE["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (
+  SELECT *, min(page_id) OVER (PARTITION BY body) AS first,
+         list_transform(range(0, 8), lambda k: ('0x' || substr(h, 5 * k + 1, 5))::BIGINT) AS bits
+  FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((bits[1 + k // 4] // [32768, 1024, 32, 1][1 + k % 4]) % 32)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM q
+"""
+
 ORACLE["op1_mixing"] = rf"""
 WITH d AS (
   SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size,
