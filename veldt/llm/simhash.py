@@ -5,9 +5,9 @@ Distinct fingerprints within ``distance`` bits are linked and components are for
 
 Search. Of ``distance + 1`` disjoint bit segments a linked pair agrees in at least one,
 so each distinct fingerprint goes to one bucket per segment. A bucket of more than
-``most`` fingerprints is cut again by segments of the remaining bits, and one that is
-still larger by pairs of Gray-rank blocks, so no task holds an unbounded group. Inside
-a bucket fingerprints are sorted by Gray rank; runs of eight become a node that keeps
+``most`` fingerprints is cut again by segments of the bits that are left, until so few
+are left that a bucket is bounded by their combinations: no task holds an unbounded
+group, and no block meets every other. Inside a bucket fingerprints are sorted by Gray rank; runs of eight become a node that keeps
 the bits all members share (mask and pattern), runs of eight nodes a node above, up to
 one root. A query descends from the root adding up the differences on the bits that
 each node newly fixes and drops the whole group once they exceed the distance. Every
@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm.common import scratch, written
@@ -174,9 +174,8 @@ def _bucket_links(frames: Iterator[pd.DataFrame], distance: int, rows: int = 1 <
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         fp = f["fp"].to_numpy().view(np.uint64)
         bucket = f["bucket"].to_numpy()
-        turned = (fp << f["turn"].to_numpy().astype(np.uint64)) | (fp >> ((BITS - f["turn"].to_numpy()) % BITS).astype(np.uint64))
-        order = np.lexsort((gray_rank(turned), bucket))
-        root = _local_roots(len(fp), GrayIndex(turned[order], bucket[order]).links(distance))
+        order = np.lexsort((gray_rank(f["rest"].to_numpy().view(np.uint64)), bucket))  # the bits that are not shared
+        root = _local_roots(len(fp), GrayIndex(fp[order], bucket[order]).links(distance))
         linked = np.flatnonzero(root != np.arange(len(root)))
         signed = fp[order].view(np.int64)
         return pd.DataFrame({"a": signed[linked], "b": signed[root[linked]]})
@@ -193,48 +192,34 @@ def _bucket_links(frames: Iterator[pd.DataFrame], distance: int, rows: int = 1 <
         yield solve(rest)
 
 
-def _segments(lo: int, hi: int, n: int) -> list[tuple[int, int]]:
-    """n (first bit, bits) that cover [lo, hi)."""
-    cut = [lo + (hi - lo) * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+#: Bits that may be left in a bucket of any size: at most 2^13 fingerprints differ in them.
+FEW_BITS = 13
 
 
-def _bits(fp: Column, at: int, n: int) -> Column:
-    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1))
+def _cut(rows: DataFrame, parts: int) -> DataFrame:
+    """Each row once per segment of the ``r`` bits left: bucket takes up the segment's value, rest and r lose it."""
+    at = rows.select("fp", "rest", "r", "bucket", F.explode(F.array(*[F.lit(k) for k in range(parts)])).alias("k"))
+    at = at.select("*", F.expr(f"int(r * k div {parts})").alias("a"), F.expr(f"int(r * (k + 1) div {parts})").alias("b"))
+    value = F.expr("shiftrightunsigned(rest, a) & (shiftleft(1L, b - a) - 1)")
+    low, high = F.expr("rest & (shiftleft(1L, a) - 1)"), F.expr(f"if(b < {BITS}, shiftleft(shiftrightunsigned(rest, b), a), 0L)")
+    return at.select("fp", low.bitwiseOR(high).alias("rest"), F.expr("r - (b - a)").alias("r"), F.xxhash64("bucket", "k", value).alias("bucket"))
 
 
 def links(fps: DataFrame, distance: int = 2, most: int = 2048) -> DataFrame:
     """fps(fp), distinct -> links (a, b) that connect exactly what pairs within ``distance`` bits connect."""
-    fp = F.col("fp")
-    first = _segments(0, BITS, distance + 1)
-    # a turn brings the bits above the segment to the top, so the shared bits come last in Gray order
-    rows = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("s"), _bits(fp, a, n).alias("v")) for k, (a, n) in enumerate(first)])).alias("x")).select("fp", "x.s", "x.v")
-    hot = rows.groupBy("s", "v").count().where(F.col("count") > most).select("s", "v", F.lit(True).alias("hot"))
-    rows = rows.join(hot, ["s", "v"], "left")
-    cool = rows.where("hot is null").select("fp", "s", "v", F.lit(-1).alias("s2"), F.lit(-1).cast("long").alias("v2"))
-
-    def again(k: int) -> Column:
-        """Segments of the bits outside segment k, taken from a rotation that brings them to the bottom."""
-        a, n = first[k]
-        turned = F.shiftrightunsigned(fp, (a + n) % BITS).bitwiseOR(F.shiftleft(fp, BITS - (a + n))) if a + n < BITS else fp
-        return F.array(*[F.struct(F.lit(j).alias("s2"), _bits(turned, b, m).alias("v2")) for j, (b, m) in enumerate(_segments(0, BITS - n, distance + 1))])
-
-    choice = F.when(F.col("s") == 0, again(0))
-    for k in range(1, distance + 1):
-        choice = choice.when(F.col("s") == k, again(k))
-    finer = rows.where("hot").select("fp", "s", "v", F.explode(choice).alias("x")).select("fp", "s", "v", "x.s2", "x.v2")
-    cool = cool.select("*", F.lit(1).cast("long").alias("blocks"))
-    size = finer.groupBy("s", "v", "s2", "v2").agg(F.ceil(F.count("*") / F.lit(most / 2)).alias("blocks"))
-    finer = finer.join(size, ["s", "v", "s2", "v2"]).select(*cool.columns)
-    # a bucket of b > 2 blocks is searched as pairs of blocks; block by Gray-neutral hash
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    pairs = F.when(F.col("blocks") <= 2, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != own), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    )
-    dealt = cool.union(finer).select("fp", "s", F.explode(pairs).alias("p"), "v", "s2", "v2")
-    bucket = F.xxhash64("s", "v", "s2", "v2", "p.i", "p.j")
-    turn = F.element_at(F.array(*[F.lit((BITS - a - n) % BITS) for a, n in first]), F.col("s") + 1)
-    dealt = dealt.select("fp", bucket.alias("bucket"), turn.alias("turn"))
+    rows = fps.select("fp", F.col("fp").alias("rest"), F.lit(BITS).alias("r"), F.lit(0).cast("long").alias("bucket"))
+    parts, left, calm = distance + 1, BITS, []
+    while left > FEW_BITS:
+        rows = _cut(rows, parts)
+        left -= left // parts
+        hot = written(rows.groupBy("bucket").count().where(F.col("count") > most).select("bucket"), "crowded")
+        if hot.isEmpty():
+            break
+        calm.append(rows.join(hot, "bucket", "left_anti").select("fp", "rest", "bucket"))
+        rows = rows.join(hot, "bucket", "left_semi").select("fp", "rest", "r", "bucket")
+    dealt = rows.select("fp", "rest", "bucket")
+    for c in calm:
+        dealt = dealt.union(c)
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInPandas(partial(_bucket_links, distance=distance), "a long, b long").distinct()
 
