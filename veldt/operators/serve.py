@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def search(records: DataFrame, name: Column, query: str, limit: int = 12, least: int = 2) -> DataFrame:
-    """Records whose name holds the query, by place of the match, then length, then name."""
+def search(records: DataFrame, name: Column, query: str, limit: int = 12, least: int = 2, tie: str | None = None) -> DataFrame:
+    """Records whose name holds the query, by place of the match, then length, then name (then ``tie``)."""
     q = query.lower().strip()
     if len(q) < least:
         return records.limit(0)
-    found = records.withColumn("at", F.instr(F.lower(name), q)).where("at > 0")
-    return found.orderBy("at", F.length(name), name).limit(limit)
+    found = records.withColumn("at", F.instr(F.lower(name), q).cast("long")).where("at > 0")
+    return found.orderBy("at", F.length(name), name, *[tie] * bool(tie)).limit(limit)
 
 
 def movers(changes: DataFrame, from_: int | None = None, to: int | None = None) -> DataFrame:

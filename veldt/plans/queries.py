@@ -7,6 +7,7 @@ level, so everything that needs a partition has one without clustering first.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +21,7 @@ from veldt.sources import panel as source
 from veldt.sources.staging import materialised
 
 CFG = Config(knn=5)
+EVERY = 10_000  # periods: the whole series
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -67,8 +69,18 @@ def shared(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 @shared
-def wide(spark: SparkSession, d: str, months: int = 24) -> DataFrame:
-    return features.wide_panel(source.orders_panel(spark, d), list(CFG.categories), months)
+def closed(spark: SparkSession, d: str) -> DataFrame:
+    return source.closed_periods(source.orders_panel(spark, d))
+
+
+def months(spark: SparkSession, d: str) -> int:
+    return closed(spark, d).select("period").distinct().count()
+
+
+@shared
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    """Entities with all closed months."""
+    return features.wide_panel(closed(spark, d), list(CFG.categories), months(spark, d))
 
 
 @shared
@@ -99,7 +111,7 @@ def residuals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def series_z(spark: SparkSession, d: str, columns: tuple[str, ...] = RESID) -> DataFrame:
-    return graphs.window_z(residuals(spark, d), list(columns), "9999-99", 24, 6)
+    return graphs.window_z(residuals(spark, d), list(columns), "9999-99", EVERY, 6)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +164,7 @@ def panel_days(spark, d):
 
 @query(sql("SELECT entity, count(*) AS periods FROM wide GROUP BY entity"))
 def complete_entities(spark, d):
-    return relational.complete_entities(wide(spark, d, 1), 24).groupBy("entity").agg(F.count(F.lit(1)).alias("periods"))
+    return relational.complete_entities(features.wide_panel(closed(spark, d), list(CFG.categories), 1), months(spark, d)).groupBy("entity").agg(F.count(F.lit(1)).alias("periods"))
 
 
 @query(sql("SELECT entity, period FROM (SELECT entity, period, " + ", ".join(f"avg(value) FILTER (category = '{c.upper()}') AS {c}" for c in CATS) + " FROM panel GROUP BY ALL) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in CATS)))
@@ -178,9 +190,9 @@ def reindexed(spark, d):
     return relational.reindex(ids, n, "entity")
 
 
-@query(sql("SELECT src, dst, km FROM roads WHERE src < 20 AND dst < 20"))
+@query(sql("SELECT src, dst, km FROM roads WHERE src IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AND dst IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)"))
 def both_ends(spark, d):
-    ids = source.scan(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("entity")).where("entity < 20")
+    ids = source.scan(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").cast("long").alias("entity")).distinct()
     return relational.both_ends(source.road_edges(spark, d), ids).select("src", "dst", "km")
 
 
@@ -236,18 +248,18 @@ def ranks(spark, d):
     return relational.min_rank(p, "p_size", ["p_brand"], "min_rank").select("p_partkey", "p_brand", "avg_rank", F.col("min_rank").cast("long").alias("min_rank"))
 
 
-@query("SELECT line, value, header FROM (SELECT o_orderkey AS line, o_orderpriority AS value, last_value(CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS header FROM orders) WHERE line % 7 <> 0")
+@query("SELECT line, value, header FROM (SELECT o_orderkey AS line, o_orderpriority AS value, last_value(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderstatus END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS header FROM orders) WHERE value <> '1-URGENT'")
 def region_header_fill(spark, d):
     rows = source.scan(spark, d, "orders").select(F.col("o_orderkey").alias("line"), F.col("o_orderpriority").alias("value"), "o_custkey", "o_orderstatus")
-    return relational.carry_header(rows, F.col("line") % 7 == 0, F.col("o_orderstatus"), "line", "o_custkey").select("line", "value", "header")
+    return relational.carry_header(rows, F.col("value") == "1-URGENT", F.col("o_orderstatus"), "line", "o_custkey").select("line", "value", "header")
 
 
-@query("SELECT n_nationkey::BIGINT AS id, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 10 END, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey * 100 END)::BIGINT AS population FROM nation")
+@query("SELECT n_nationkey::BIGINT AS id, coalesce(CASE WHEN n_regionkey IN (0, 2) THEN n_nationkey * 10 END, CASE WHEN n_regionkey IN (1, 2) THEN n_nationkey * 100 END)::BIGINT AS population FROM nation")
 def code_or_name_match(spark, d):
-    rows = source.scan(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("string").alias("code"), normal_name(F.col("n_name")).alias("name"))
-    codes = rows.where("id % 2 = 0").select("code", (F.col("id") * 10).alias("population"))
-    names = rows.where("id % 3 = 0").select("name", (F.col("id") * 100).alias("population"))
-    return relational.coalesce_lookup(rows, codes, names, "population").select("id", "population")
+    rows = source.scan(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("string").alias("code"), normal_name(F.col("n_name")).alias("name"), "n_regionkey")
+    codes = rows.where("n_regionkey in (0, 2)").select("code", (F.col("id") * 10).alias("population"))
+    names = rows.where("n_regionkey in (1, 2)").select("name", (F.col("id") * 100).alias("population"))
+    return relational.coalesce_lookup(rows.drop("n_regionkey"), codes, names, "population").select("id", "population")
 
 
 @query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' - ' || p_type), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')) AS name FROM part")
@@ -317,10 +329,10 @@ def log_series(spark, d):
     return r6(features.log_series(wide(spark, d)))
 
 
-@query("SELECT n_nationkey::BIGINT AS entity, round(ln(1 + coalesce(m, (SELECT min(m) FROM (SELECT sum(s_acctbal) AS m FROM supplier WHERE s_nationkey % 2 = 0 AND s_acctbal > 0 GROUP BY s_nationkey)))), 6) AS market FROM nation LEFT JOIN (SELECT s_nationkey, sum(s_acctbal) AS m FROM supplier WHERE s_nationkey % 2 = 0 AND s_acctbal > 0 GROUP BY 1) ON s_nationkey = n_nationkey")
+@query("SELECT n_nationkey::BIGINT AS entity, round(ln(1 + coalesce(m, (SELECT min(m) FROM (SELECT sum(s_acctbal) AS m FROM supplier WHERE s_acctbal > 8000 GROUP BY s_nationkey)))), 6) AS market FROM nation LEFT JOIN (SELECT s_nationkey, sum(s_acctbal) AS m FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) ON s_nationkey = n_nationkey")
 def market_access(spark, d):
     ids = source.scan(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("entity"))
-    m = source.scan(spark, d, "supplier").where("s_nationkey % 2 = 0 and s_acctbal > 0").groupBy(F.col("s_nationkey").cast("long").alias("entity")).agg(F.sum("s_acctbal").alias("market_access"))
+    m = source.scan(spark, d, "supplier").where("s_acctbal > 8000").groupBy(F.col("s_nationkey").cast("long").alias("entity")).agg(F.sum("s_acctbal").alias("market_access"))
     return r6(features.market_access(ids, m))
 
 
@@ -347,7 +359,7 @@ def residual_corr(spark, d):
     return r6(graphs.knn_graph(graphs.residual_similarity(series_z(spark, d), 5), 5))
 
 
-_LAGS = " UNION ALL ".join(f"SELECT a.id AS src, b.id AS dst, {lag} AS lag, sum(a.z * b.z) / (5 * (24 - {abs(lag)})) AS s FROM ztidy a JOIN ztidy b ON a.c = b.c AND b.t = a.t + {lag} AND a.id <> b.id GROUP BY a.id, b.id" for lag in (-2, -1, 0, 1, 2))
+_LAGS = " UNION ALL ".join(f"SELECT a.id AS src, b.id AS dst, {lag} AS lag, sum(a.z * b.z) / (5 * ((SELECT max(t) FROM ztidy) - {abs(lag)})) AS s FROM ztidy a JOIN ztidy b ON a.c = b.c AND b.t = a.t + {lag} AND a.id <> b.id GROUP BY a.id, b.id" for lag in (-2, -1, 0, 1, 2))
 
 
 @query(sql(f"SELECT a.src, a.dst, round((a.m + b.m) / 2, 6) + 0.0 AS sim FROM (SELECT src, dst, max(s) AS m FROM ({_LAGS}) GROUP BY ALL) a JOIN (SELECT src, dst, max(s) AS m FROM ({_LAGS}) GROUP BY ALL) b ON a.src = b.dst AND a.dst = b.src"))
@@ -355,9 +367,17 @@ def lagged_corr(spark, d):
     return r6(graphs.lagged_similarity(series_z(spark, d), 1000, 5, 2).drop("rank"))
 
 
-@query()
+# cell (i, j) of the anti-diagonal d = i + j lies at i + 2, as a step back in i must find one
+_DTW = """ts AS (SELECT id, list(z ORDER BY t) AS x, count(*) AS n FROM ztidy WHERE c = 4 GROUP BY id),
+diag(src, dst, x, y, n, d, older, last) AS (
+SELECT a.id, b.id, a.x, b.x, a.n, -1::BIGINT, list_transform(range(0, a.n + 1), lambda c: CASE WHEN c = 0 THEN 0 ELSE 'Infinity'::DOUBLE END::DOUBLE), list_transform(range(0, a.n + 1), lambda c: 'Infinity'::DOUBLE) FROM ts a JOIN ts b ON a.id <> b.id
+UNION ALL SELECT src, dst, x, y, n, d + 1, last, list_transform(range(0, n + 1), lambda c: CASE WHEN c > 0 AND d + 2 - c BETWEEN 0 AND n - 1 AND abs(2 * (c - 1) - d - 1) <= 2 THEN power(x[c] - y[d + 3 - c], 2) + least(older[c], last[c], last[c + 1]) ELSE 'Infinity'::DOUBLE END) FROM diag WHERE d < 2 * n - 2),
+far AS (SELECT src, dst, sqrt(last[n + 1]) AS d FROM diag WHERE d = 2 * n - 2)"""
+
+
+@query(sql("SELECT src, dst, round(exp(-d / (SELECT median(d) FROM far)), 6) AS sim FROM far", _DTW))
 def dtw_similarity(spark, d):
-    return r6(graphs.dtw_similarity(series_z(spark, d, ("total",)), 10, 2))
+    return r6(graphs.dtw_similarity(series_z(spark, d, ("total",)), CFG.dtw_candidates, CFG.dtw_band))
 
 
 @query(sql("SELECT src, dst, round(sim, 6) AS sim FROM road_sim"))
@@ -377,7 +397,7 @@ def normalised_graph(spark, d):
 
 @query(sql("SELECT src, dst, round(w, 6) + 0.0 AS w FROM multi"))
 def multiplex_graph(spark, d):
-    return r6(graphs.build("multiplex", profile_vectors(spark, d), residuals(spark, d), source.road_edges(spark, d), list(RESID), "9999-99", 24, CFG))
+    return r6(graphs.build("multiplex", profile_vectors(spark, d), residuals(spark, d), source.road_edges(spark, d), list(RESID), "9999-99", EVERY, CFG))
 
 
 @query(sql("SELECT src, dst, round(w, 6) + 0.0 AS w, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst)::INT AS rank FROM pknn) WHERE rank <= 8"))
@@ -403,10 +423,12 @@ def local_clustering(spark, d):
     return r6(graphs.local_clustering(vector_graph(spark, d)))
 
 
-@query(sql("SELECT id, min(component) AS component FROM reach GROUP BY id", "rknn_mod AS (SELECT * FROM rknn WHERE src % 4 = dst % 4), reach(id, component) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT FROM nation UNION SELECT e.src, r.component FROM reach r JOIN rknn_mod e ON e.dst = r.id)"))
+@query(sql("SELECT id, min(component) AS component FROM reach GROUP BY id", "rknn_in AS (SELECT e.* FROM rknn e JOIN nation a ON e.src = a.n_nationkey JOIN nation b ON e.dst = b.n_nationkey WHERE a.n_regionkey = b.n_regionkey), reach(id, component) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT FROM nation UNION SELECT e.src, r.component FROM reach r JOIN rknn_in e ON e.dst = r.id)"))
 def components(spark, d):
-    e = graphs.build("road", None, None, source.road_edges(spark, d), [], "", 0, CFG).where("src % 4 = dst % 4")
-    return graphs.components(e, regions(spark, d).select("id"))
+    g = regions(spark, d)
+    e = graphs.build("road", None, None, source.road_edges(spark, d), [], "", 0, CFG)
+    e = e.join(g.select(F.col("id").alias("src"), "g"), "src").join(g.select(F.col("id").alias("dst"), "g"), ["dst", "g"]).drop("g")
+    return graphs.components(e, g.select("id"))
 
 
 @query(sql("""SELECT round((same / m - sq / (m * m)) / (1 - sq / (m * m)), 6) + 0.0 AS assortativity FROM (
@@ -421,12 +443,21 @@ def cross_type_share(spark, d):
     return r6(graphs.cross_label_share(vector_graph(spark, d), vector_labels(spark, d)))
 
 
-@query()
+@query(sql("""SELECT (SELECT count(*) FROM pknn WHERE src < dst) AS edges, round((SELECT count(*) FROM pknn) / 25.0::DOUBLE, 6) AS degree, (SELECT max(c) FROM dg) AS degree_max,
+round((SELECT sum(CASE WHEN c < 2 THEN 0 ELSE coalesce(n, 0)::DOUBLE / (c * (c - 1)) END) FROM dg LEFT JOIN tri USING (src)) / 25, 6) AS clustering,
+(SELECT count(DISTINCT component) FROM (SELECT id, min(component) AS component FROM reach GROUP BY id)) AS components,
+(SELECT round(avg((a.n_regionkey = b.n_regionkey)::INT), 6) FROM pknn JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey WHERE src < dst) AS same_group,
+(SELECT round(median(km), 6) FROM pknn JOIN roads USING (src, dst) WHERE src < dst) AS median_km,
+(SELECT round((same / m - sq / (m * m)) / (1 - sq / (m * m)), 6) + 0.0 FROM (SELECT sum(n)::DOUBLE AS m, (sum(n) FILTER (a = b))::DOUBLE AS same FROM mix), (SELECT sum(n * n)::DOUBLE AS sq FROM (SELECT a, sum(n) AS n FROM mix GROUP BY a))) AS assortativity""",
+  """dg AS (SELECT src, count(*) AS c FROM pknn GROUP BY src), tri AS (SELECT p.src, count(*) AS n FROM pknn p JOIN pknn q ON p.src = q.src AND p.dst <> q.dst JOIN pknn r ON r.src = p.dst AND r.dst = q.dst GROUP BY p.src),
+mix AS (SELECT x.n_regionkey AS a, y.n_regionkey AS b, count(*) AS n FROM pknn JOIN nation x ON src = x.n_nationkey JOIN nation y ON dst = y.n_nationkey GROUP BY ALL),
+reach(id, component) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT FROM nation UNION SELECT e.src, r.component FROM reach r JOIN pknn e ON e.dst = r.id)"""))
 def graph_properties(spark, d):
     return r6(graphs.properties(profile_graph(spark, d), regions(spark, d).select("id"), regions(spark, d), source.road_edges(spark, d)))
 
 
-@query()
+@query(sql("SELECT src, dst, round(exp(-d * d / (a.s * b.s)), 6) AS w FROM (SELECT * FROM ed WHERE n <= 30) JOIN (SELECT src, d AS s FROM ed WHERE n = 15) a USING (src) JOIN (SELECT src AS dst, d AS s FROM ed WHERE n = 15) b USING (dst)",
+  "ed AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS n FROM (SELECT a.id AS src, b.id AS dst, list_distance(a.x, b.x) AS d FROM evec a JOIN evec b ON a.id <> b.id))"))
 def feature_kernel(spark, d):
     return r6(graphs.feature_kernel(vectors(spark, d), 15, 30))
 
@@ -558,7 +589,22 @@ def rank_table(spark, d):
     return out.select("k", "item", "borda", "copeland", *[F.col(c).cast("long").alias(c) for c in ("borda_rank", "copeland_rank")])
 
 
-@query()
+_KEMENY = """,
+beats AS (SELECT x.k, x.a, x.b FROM ma x JOIN ma y ON x.k = y.k AND x.a = y.b AND x.b = y.a WHERE x.wins > y.wins),
+pass(k, o, i, moved, step) AS (
+SELECT k, list(item ORDER BY borda DESC, item), 1::BIGINT, false, 0::BIGINT FROM bo GROUP BY k
+UNION ALL
+SELECT p.k, CASE WHEN b.a IS NULL OR p.i = len(p.o) THEN p.o ELSE p.o[:p.i - 1] || [p.o[p.i + 1], p.o[p.i]] || p.o[p.i + 2:] END,
+       CASE WHEN p.i = len(p.o) THEN 1 ELSE p.i + 1 END, CASE WHEN p.i = len(p.o) THEN false ELSE p.moved OR b.a IS NOT NULL END, p.step + 1
+FROM pass p LEFT JOIN beats b ON b.k = p.k AND b.a = p.o[p.i + 1] AND b.b = p.o[p.i] WHERE p.i < len(p.o) OR p.moved),
+ke AS (SELECT k, unnest(o) AS item, unnest(range(1, len(o) + 1)) AS kemeny_rank FROM (SELECT k, arg_max(o, step) AS o FROM pass GROUP BY k))"""
+
+
+def with_kemeny(select: str) -> str:
+    return f"WITH RECURSIVE {_SCORES}{_KEMENY}\n{select}"
+
+
+@query(with_kemeny("SELECT k, item, kemeny_rank FROM ke"))
 def kemeny(spark, d):
     return ranking.kemeny(scores(spark, d))
 
@@ -632,14 +678,20 @@ def raw_path(spark, d):
     return temporal.raw_path(emissions(spark, d))
 
 
-_STAY, _MOVE = "ln(1 - 0.03)", "ln(0.03 / 2)"
-_VITERBI = f"""vit(entity, t, type, score) AS (
-SELECT entity, 0::BIGINT, type, e FROM tstep WHERE t = 0
-UNION ALL SELECT entity, t, type, score FROM (SELECT v.entity, s.t, s.type, max(v.score + CASE WHEN v.type = s.type THEN {_STAY} ELSE {_MOVE} END) + any_value(s.e) AS score FROM vit v JOIN tstep s ON s.entity = v.entity AND s.t = v.t + 1 GROUP BY v.entity, s.t, s.type)),
-back AS (SELECT s.entity, s.t, s.type, arg_max(v.type, [v.score + CASE WHEN v.type = s.type THEN {_STAY} ELSE {_MOVE} END, -v.type]) AS prev FROM vit v JOIN tstep s ON s.entity = v.entity AND s.t = v.t + 1 GROUP BY ALL),
-walk(entity, t, type) AS (SELECT entity, t, arg_max(type, [score, -type]) FROM vit WHERE t = (SELECT max(t) FROM tstep) GROUP BY entity, t
+def paths_text(steps: str = "tstep", p: float = 0.03, n: str = "") -> str:
+    """Recursive text of the hidden paths over the table ``steps``; ``n`` sets the names of its tables apart."""
+    stay, move = f"ln(1 - {p})", f"ln({p} / 2)"
+    text = f"""vit(entity, t, type, score) AS (
+SELECT entity, 0::BIGINT, type, e FROM {steps} WHERE t = 0
+UNION ALL SELECT entity, t, type, score FROM (SELECT v.entity, s.t, s.type, max(v.score + CASE WHEN v.type = s.type THEN {stay} ELSE {move} END) + any_value(s.e) AS score FROM vit v JOIN {steps} s ON s.entity = v.entity AND s.t = v.t + 1 GROUP BY v.entity, s.t, s.type)),
+back AS (SELECT s.entity, s.t, s.type, arg_max(v.type, [v.score + CASE WHEN v.type = s.type THEN {stay} ELSE {move} END, -v.type]) AS prev FROM vit v JOIN {steps} s ON s.entity = v.entity AND s.t = v.t + 1 GROUP BY ALL),
+walk(entity, t, type) AS (SELECT entity, t, arg_max(type, [score, -type]) FROM vit WHERE t = (SELECT max(t) FROM {steps}) GROUP BY entity, t
 UNION ALL SELECT w.entity, w.t - 1, b.prev FROM walk w JOIN back b ON b.entity = w.entity AND b.t = w.t AND b.type = w.type),
-path AS (SELECT w.entity, w.t, p.period, w.type FROM walk w JOIN (SELECT DISTINCT t, period FROM tstep) p USING (t))"""
+path AS (SELECT w.entity, w.t, p.period, w.type FROM walk w JOIN (SELECT DISTINCT t, period FROM {steps}) p USING (t))"""
+    return re.sub(r"\b(vit|back|walk|path)\b", rf"\1{n}", text) if n else text
+
+
+_VITERBI = paths_text()
 
 
 @query(sql("SELECT entity, period, type::INT AS type FROM path", _VITERBI))
@@ -677,19 +729,31 @@ def switch_stats(spark, d):
     return r6(temporal.switch_stats(temporal.raw_path(emissions(spark, d)), types(spark, d)))
 
 
-@query()
+# a sample is a set of entities of its own: entity and sample make up the key
+_NULL = """perm AS (SELECT sample, t, row_number() OVER (PARTITION BY sample ORDER BY md5('0:' || sample || ':' || (t // 3)), t) - 1 AS nt FROM (SELECT DISTINCT t FROM tstep), (SELECT unnest(range(0, 50)) AS sample)),
+pstep AS MATERIALIZED (SELECT sample * 1000000 + entity AS entity, nt::VARCHAR AS period, nt AS t, type, e FROM tstep JOIN perm USING (t)),
+""" + paths_text("pstep", 0.03, "_p") + """,
+runs_p AS (SELECT entity, max(t) FILTER (type <> b) AS t, count(*) AS n FROM (SELECT entity, t, type, lag(type) OVER (PARTITION BY entity ORDER BY t) AS b FROM walk_p) GROUP BY entity),
+null_p AS (SELECT sample::INT AS sample, count(*) FILTER (entity // 1000000 = sample AND n - t >= 6) AS changes FROM runs_p, (SELECT unnest(range(0, 50)) AS sample) GROUP BY sample)"""
+
+
+@query(sql("SELECT sample, changes FROM null_p", _NULL))
 def block_null(spark, d):
-    return temporal.block_null(emissions(spark, d), samples=20)
+    return temporal.block_null(emissions(spark, d))
 
 
-@query()
+@query(sql("SELECT round(avg((changes >= (SELECT count(*) FROM (SELECT entity, max(t) FILTER (type <> b) AS t, count(*) AS n FROM (SELECT entity, t, type, lag(type) OVER (PARTITION BY entity ORDER BY t) AS b FROM walk) GROUP BY entity) WHERE n - t >= 6))::INT), 6) AS p FROM null_p", _NULL + ",\n" + _VITERBI))
 def null_pvalue(spark, d):
     e = emissions(spark, d)
     seen = temporal.persistent_changes(temporal.viterbi(e)).agg(F.count(F.lit(1)).alias("changes"))
-    return temporal.null_p_value(temporal.block_null(e, samples=20), seen)
+    return r6(temporal.null_p_value(temporal.block_null(e), seen))
 
 
-@query()
+@query(sql("""SELECT "lambda", round(avg((best = label)::INT), 6) AS agreement FROM (
+SELECT "lambda", d2.id, any_value(t.label) AS label, arg_max(d2.label, [-d / (SELECT tau FROM tau) + "lambda" * coalesce(f, 0), -d2.label]) AS best
+FROM d2 JOIN types t ON t.id = d2.id JOIN (SELECT src, sum(w) AS tot FROM pknn GROUP BY src) g ON g.src = d2.id
+LEFT JOIN (SELECT src, label, sum(w) / any_value(tot) AS f FROM pknn JOIN types ON dst = id JOIN (SELECT src, sum(w) AS tot FROM pknn GROUP BY src) USING (src) GROUP BY ALL) s ON s.src = d2.id AND s.label = d2.label,
+(SELECT unnest(range(0, 41)) / 4.0::DOUBLE AS "lambda") GROUP BY ALL) GROUP BY "lambda" ORDER BY agreement DESC, "lambda" LIMIT 1"""))
 def lambda_fit(spark, d):
     p = profile_vectors(spark, d)
     centres = indices.centroids(p, types(spark, d))
@@ -717,7 +781,10 @@ def flows(spark, d):
     return temporal.flows(temporal.raw_path(emissions(spark, d)))
 
 
-@query()
+@query(sql("""SELECT period, round(CASE WHEN ha + hb = 0 THEN 1 ELSE greatest(mi, 0) / ((ha + hb) / 2) END, 6) + 0.0 AS "NMI" FROM (SELECT period, sum(n / tot * ln(n * tot / (na * nb))) AS mi FROM pt GROUP BY period)
+JOIN (SELECT period, -sum(na / tot * ln(na / tot)) AS ha FROM (SELECT DISTINCT period, la, na, tot FROM pt) GROUP BY period) USING (period)
+JOIN (SELECT period, -sum(nb / tot * ln(nb / tot)) AS hb FROM (SELECT DISTINCT period, lb, nb, tot FROM pt) GROUP BY period) USING (period)""",
+  "pc AS (SELECT period, label AS la, type AS lb, count(*)::DOUBLE AS n FROM raw JOIN types ON id = entity GROUP BY ALL), pt AS (SELECT *, sum(n) OVER (PARTITION BY period, la) AS na, sum(n) OVER (PARTITION BY period, lb) AS nb, sum(n) OVER (PARTITION BY period) AS tot FROM pc)"))
 def slice_nmi(spark, d):
     raw, lab = temporal.raw_path(emissions(spark, d)), types(spark, d)
     both = raw.select(F.col("entity").alias("id"), "period", F.col("type").cast("long").alias("lb")).join(lab.select("id", F.col("label").alias("la")), "id")
@@ -816,9 +883,7 @@ def within_region(spark, d):
 
 @query("""SELECT p_partkey, p_name, "at" FROM (SELECT p_partkey, p_name, instr(lower(p_name), 'ri') AS "at" FROM part) WHERE "at" > 0 ORDER BY "at", length(p_name), p_name, p_partkey LIMIT 12""")
 def search(spark, d):
-    parts = source.scan(spark, d, "part").select("p_partkey", "p_name")
-    found = parts.withColumn("at", F.instr(F.lower("p_name"), "ri").cast("long")).where("at > 0")
-    return found.orderBy("at", F.length("p_name"), "p_name", "p_partkey").limit(12)
+    return serve.search(source.scan(spark, d, "part").select("p_partkey", "p_name"), F.col("p_name"), " RI", tie="p_partkey")
 
 
 @query(sql('SELECT f::INT AS "from", l::INT AS "to", count(*) AS n FROM ch WHERE s >= 1 AND n - t >= 2 GROUP BY ALL', _RAW_T))
@@ -938,12 +1003,12 @@ for _m in ("ward", "spectral", "leiden", "attributed_spectral", "sefnac", "dmon"
 
 @query()
 def kmeans(spark, d):
-    return cluster.distributed_kmeans(vectors(spark, d), 5, 3)
+    return cluster.distributed_kmeans(vectors(spark, d), 5, 20)
 
 
 @query()
 def gmm(spark, d):
-    return cluster.distributed_gmm(profile_vectors(spark, d), 2, 2)
+    return cluster.distributed_gmm(profile_vectors(spark, d), 2, 3)
 
 
 @query()
@@ -958,7 +1023,7 @@ def grid(spark, d):
 def stability(spark, d):
     from veldt.plans.experiments import stability as measure
 
-    return r6(measure(profile_vectors(spark, d), {"cosine": profile_graph(spark, d)}, "attributed_spectral", "cosine", 3, draws=4, seeds=2))
+    return r6(measure(profile_vectors(spark, d), {"cosine": profile_graph(spark, d)}, "attributed_spectral", "cosine", 3))
 
 
 @query()

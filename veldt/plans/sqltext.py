@@ -12,10 +12,11 @@ CTES: dict[str, str] = {}
 
 CTES["panel"] = """
 SELECT c_nationkey::BIGINT AS entity, strftime(o_orderdate, '%Y-%m') AS period, c_mktsegment AS category, sum(o_totalprice) AS value
-FROM orders JOIN customer ON o_custkey = c_custkey
-WHERE o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderdate < TIMESTAMP '2001-01-01' GROUP BY ALL"""
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
 CTES["wide_all"] = "SELECT entity, period, " + ", ".join(f"coalesce(sum(value) FILTER (category = '{c.upper()}'), 0) AS {c}" for c in CATS) + ", sum(value) AS total FROM panel GROUP BY ALL"
-CTES["wide"] = "SELECT * FROM wide_all WHERE entity IN (SELECT entity FROM wide_all GROUP BY entity HAVING count(DISTINCT period) >= 24)"
+# the last month still runs; of the closed ones an entity must have all
+CTES["closed"] = "SELECT * FROM wide_all WHERE period < (SELECT max(period) FROM wide_all)"
+CTES["wide"] = "SELECT * FROM closed WHERE entity IN (SELECT entity FROM closed GROUP BY entity HAVING count(DISTINCT period) >= (SELECT count(DISTINCT period) FROM closed))"
 CTES["rolled"] = "SELECT * FROM (SELECT entity, period, " + ", ".join(f"sum({c}) OVER w AS {c}" for c in RESID) + ", count(*) OVER w AS n FROM wide WINDOW w AS (PARTITION BY entity ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE n = 3"
 CTES["raw_shares"] = "SELECT entity, period, total, " + ", ".join(f"{c} / total AS {c}" for c in CATS) + ", 1 - (" + " + ".join(f"{c} / total" for c in CATS) + ") AS other FROM rolled"
 CTES["floored"] = "SELECT entity, period, total, " + ", ".join(f"greatest({c}, 0.002) AS {c}" for c in SHARES) + ", " + " + ".join(f"greatest({c}, 0.002)" for c in SHARES) + " AS s FROM raw_shares"

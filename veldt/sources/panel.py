@@ -11,15 +11,24 @@ def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def orders_panel(spark: SparkSession, sf_dir: str, start: str = "1999-01-01", stop: str = "2001-01-01") -> DataFrame:
-    """entity (nation), period (yyyy-MM), category (segment), value (order totals) of a date range."""
-    orders = scan(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(stop).cast("timestamp_ntz")))
+def orders_panel(spark: SparkSession, sf_dir: str, start: str | None = None, stop: str | None = None) -> DataFrame:
+    """entity (nation), period (yyyy-MM), category (segment), value (order totals) of all orders, or of a date range."""
+    orders = scan(spark, sf_dir, "orders")
+    if start:
+        orders = orders.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
+    if stop:
+        orders = orders.where(F.col("o_orderdate") < F.lit(stop).cast("timestamp_ntz"))
     joined = orders.join(scan(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy(
         F.col("c_nationkey").cast("long").alias("entity"), F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.col("c_mktsegment").alias("category"),
     ).agg(F.sum("o_totalprice").alias("value"))
 
 
+def closed_periods(long: DataFrame) -> DataFrame:
+    """The panel without its last period, which still runs."""
+    return long.crossJoin(F.broadcast(long.agg(F.max("period").alias("_last")))).where(F.col("period") < F.col("_last")).drop("_last")
+
+
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity (user), period (day), category (event type), value."""
     e = scan(spark, sf_dir, "events")
