@@ -174,6 +174,75 @@ def test_concepts(spark):
     assert found[0] == ["a"]
 
 
+def test_types_without_a_description_have_an_empty_one(spark):
+    c = spark.createDataFrame([(i, i < 3) for i in range(6)], "id long, a boolean")
+    lab = spark.createDataFrame([(i, int(i >= 3)) for i in range(6)], "id long, label int")
+    found = {r["label"]: (r["generator"], r["f1"]) for r in concepts.describe_types(c, lab, least=1).collect()}
+    assert found == {0: (["a"], 1.0), 1: ([], 0.0)}
+
+
+def test_passes_settle_and_keep_what_no_majority_turns():
+    assert ranking.settled(["a", "b", "c", "d"], {("d", "a"), ("d", "b"), ("d", "c")}) == ["d", "a", "b", "c"]
+    assert ranking.settled(["a", "b"], set()) == ["a", "b"]
+
+
+def test_extraction_takes_overlapping_groups_one_by_one():
+    """Two planted groups that overlap in features but not in links, and outliers that go to the nearest centre."""
+    rng = np.random.default_rng(1)
+    lab = np.repeat([0, 1], 30)
+    x = rng.normal(size=(60, 3)) * 0.6
+    x[:, 0] += 2.0 * lab
+    a = np.triu(rng.random((60, 60)) < np.where(lab[:, None] == lab[None, :], 0.6, 0.02), 1).astype(float)
+    found = cluster.sefnac(x, a + a.T, 2)
+    assert max((found == lab).mean(), (found != lab).mean()) > 0.9
+
+
+def test_soft_modularity_gradient():
+    rng = np.random.default_rng(2)
+    a = np.triu(rng.random((9, 9)) < 0.5, 1).astype(float)
+    a += a.T
+    c = rng.dirichlet(np.ones(3), 9)
+    _, grad = cluster.soft_modularity(c, a, 0.7)
+    for i, j in ((0, 0), (4, 2), (8, 1)):
+        step = np.zeros_like(c)
+        step[i, j] = 1e-6
+        up, down = cluster.soft_modularity(c + step, a, 0.7)[0], cluster.soft_modularity(c - step, a, 0.7)[0]
+        assert grad[i, j] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_small_communities_follow_their_ties():
+    a = np.zeros((8, 8))
+    for u, v in ((0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (6, 5), (7, 6)):
+        a[u, v] = a[v, u] = 1.0
+    lab = cluster.absorb_small(np.array([0, 0, 0, 1, 1, 1, 2, 3]), [0, 1], a)
+    assert lab[6] == lab[7] == lab[5] and lab[0] != lab[5]
+
+
+def test_options_in_sections(tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "c.yaml"
+    path.write_text("seed: 1\nfeatures:\n  smoothing_window: 2\n  use_market_access: true\ngraph:\n  k: 9\ninterpretation:\n  fca_min_extent: 4\n")
+    c = Config.from_yaml(path)
+    assert (c.smoothing_window, c.knn, c.min_extent, c.blocks) == (2, 9, 4, ("structure", "level", "rhythm", "market"))
+    path.write_text("knn: 3\nnonesuch: 1\n")
+    with pytest.raises(ValueError):
+        Config.from_yaml(path)
+
+
+def test_bundle_and_digests(spark, tmp_path):
+    import hashlib
+
+    from veldt.sources import panel
+
+    d = spark.createDataFrame([(1, 2.5), (2, None)], "id long, v double")
+    panel.write_bundle({"a": d}, str(tmp_path), "json")
+    assert panel.read_bundle(spark, str(tmp_path), ["a"], "json")["a"].count() == 2
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "f.bin").write_bytes(b"abc")
+    want = spark.createDataFrame([("f.bin", hashlib.sha256(b"abc").hexdigest()), ("g.bin", "0")], "name string, sha256 string")
+    assert {r["name"]: r["ok"] for r in panel.verified(panel.file_digests(spark, str(tmp_path / "x")), want).collect()} == {"f.bin": True, "g.bin": False}
+
+
 def test_p_values():
     assert stats.upper_gamma(0.5, 3.841458820694124 / 2) == pytest.approx(0.05, abs=1e-9)
     assert stats.upper_gamma(5, 18.307038053275146 / 2) == pytest.approx(0.05, abs=1e-9)

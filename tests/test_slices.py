@@ -17,7 +17,7 @@ def test_all_periods(spark, name):
 
     periods = lambda df: {r[0] for r in df.select("period").distinct().collect()}
     want = periods(panel_features(spark, FOLDER))
-    assert len(want) > 20 and periods(QUERIES[name](spark, FOLDER)) == want
+    assert len(want) > 70 and periods(QUERIES[name](spark, FOLDER)) == want
 
 
 def test_grouped_agreement_is_that_of_each_group(spark):

@@ -78,7 +78,11 @@ def _describe(frame: pd.DataFrame, names: list[str], most: int, precision: float
                 if f1[j, k] >= 0 and (c not in best or f1[j, k] > best[c][0] + 1e-12):
                     best[c] = (float(f1[j, k]), [*head, int(tail[j])], int(extent[j]), float(p[j, k]), float(r[j, k]))
     rows = []
-    for c, (f1, attrs, n, p, r) in sorted(best.items()):
+    for c in kinds.tolist():
+        if c not in best:
+            rows.append((int(c), [], [], 0, 0.0, 0.0, 0.0, 0))
+            continue
+        f1, attrs, n, p, r = best[c]
         inside = has[has[:, attrs].all(1)]
         closed = inside.all(0)
         counts = inside.sum(0)
@@ -88,7 +92,7 @@ def _describe(frame: pd.DataFrame, names: list[str], most: int, precision: float
 
 
 def describe_types(ctx: DataFrame, labels: DataFrame, most: int = 3, precision: float = 0.5, least: int = 10) -> DataFrame:
-    """Best attribute set of up to ``most`` attributes per type by F1; the first in column order wins.
+    """Best attribute set of up to ``most`` attributes per type by F1; the first in column order wins. A type that no set describes has an empty one.
 
     The context is packed to one array of booleans an object and searched in one task: it is
     as small as the number of analysed entities, which is the limit of this operator.

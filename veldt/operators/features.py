@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.functions.scalars import clr, floor_shares, total
-from veldt.operators.relational import entity_mean, minus_group_median, rolling_sum
+from veldt.operators.relational import complete_entities, entity_mean, minus_group_median, pivot_mean, rolling_sum, without_nulls
 
 
 def wide_panel(long: DataFrame, categories: list[str], min_months: int = 24) -> DataFrame:
@@ -17,6 +17,15 @@ def wide_panel(long: DataFrame, categories: list[str], min_months: int = 24) ->
     return wide.join(seen, "entity", "left_semi")
 
 
+def strict_panel(long: DataFrame, categories: list[str], min_months: int = 24) -> DataFrame:
+    """Wide panel of means without filling: entities with enough periods, then rows with every category; total of all categories.
+
+    Completeness is judged before rows are dropped, so an entity may keep fewer rows than periods.
+    """
+    wide = pivot_mean(long, categories).join(long.groupBy("entity", "period").agg(F.sum("value").alias("total")), ["entity", "period"])
+    return without_nulls(complete_entities(wide, min_months))
+
+
 def share_names(categories: list[str]) -> list[str]:
     return [*[c.lower() for c in categories], "other"]
 

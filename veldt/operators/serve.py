@@ -136,3 +136,29 @@ def type_profile(shares: DataFrame, columns: list[str], level: str) -> DataFrame
     nat = shares.agg(*[F.avg(c).alias(f"_n_{c}") for c in columns])
     med = shares.groupBy("label").agg(*[F.median(c).alias(c) for c in columns], F.avg(level).alias("_l"))
     return med.crossJoin(F.broadcast(nat)).select("label", *[(F.col(c) / F.col(f"_n_{c}") - 1).alias(c) for c in columns], (F.exp("_l") - 1).alias(level))
+
+
+def summary(panel: DataFrame, labels: DataFrame, edges: DataFrame, window: int = 3) -> DataFrame:
+    """One row of header counts: entities, first and last period, smoothed slices, categories, types, edges. panel(entity, period, category)."""
+    head = panel.agg(F.countDistinct("entity").alias("entities"), F.min("period").alias("first"), F.max("period").alias("last"), (F.countDistinct("period") - window + 1).alias("slices"), F.countDistinct("category").alias("categories"))
+    return head.crossJoin(labels.agg(F.countDistinct("label").alias("types"))).crossJoin(edges.where("src < dst").agg(F.count(F.lit(1)).alias("edges")))
+
+
+def cross_index(values: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
+    """(method, key, graph, value): of each method's best run at k, its index on every graph.
+
+    values(key, method, k, graph, value); ranks(key, rank): runs without a rank come last, then by key.
+    """
+    runs = values.where(F.col("k") == k)
+    best = best_run(runs.select("method", "k", "key").distinct().join(ranks, "key", "left"), "rank").select("key")
+    return runs.join(best, "key", "left_semi").select("method", "key", "graph", "value")
+
+
+def stability_curve(stability: DataFrame, method: str, rule: str) -> DataFrame:
+    """(k, mean, q10) of one method and rule, from rows with a ``method|rule|k`` key."""
+    return key_parts(stability).where((F.col("method") == method) & (F.col("rule") == rule)).select("k", "mean", "q10")
+
+
+def sensitivity_series(rows: DataFrame) -> DataFrame:
+    """(rule, knn, MQ, same_group, place): the points of each rule's line, in order."""
+    return rows.select("rule", "knn", "MQ", "same_group", F.row_number().over(Window.partitionBy("rule").orderBy("knn")).alias("place"))

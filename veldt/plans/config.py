@@ -38,15 +38,39 @@ class Config:
 
     @classmethod
     def from_yaml(cls, path: str | Path) -> Config:
+        """Options of a YAML file, flat or in named sections; a section's option may have a name of its own there."""
         import yaml
 
-        found = yaml.safe_load(Path(path).read_text()) or {}
-        known = {f.name for f in fields(cls)}
-        if unknown := set(found) - known:
-            raise ValueError(f"unknown options: {sorted(unknown)}")
-        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
+        known, out = {f.name for f in fields(cls)}, {}
+        for name, value in (yaml.safe_load(Path(path).read_text()) or {}).items():
+            inside = value.items() if isinstance(value, dict) and name not in known else [(name, value)]
+            for key, option in inside:
+                key = IN_SECTIONS.get((name, key), key)
+                if key in FLAGS:
+                    block, flag = FLAGS[key], bool(option)
+                    blocks = [b for b in out.get("blocks", cls.blocks) if b != block]
+                    out["blocks"] = [*blocks, *[block] * flag]
+                elif key in known:
+                    out[key] = option
+                elif (name, key) not in ELSEWHERE:
+                    raise ValueError(f"unknown option {key} in {name}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in out.items()})
 
 
+#: Options whose name in a section differs from the field's.
+IN_SECTIONS = {
+    ("graph", "k"): "knn", ("clustering", "bootstrap"): "stability_draws", ("clustering", "bootstrap_frac"): "stability_fraction", ("temporal", "match_threshold"): "event_theta",
+    ("interpretation", "fca_max_attrs"): "max_attrs", ("interpretation", "fca_min_precision"): "min_precision", ("interpretation", "fca_min_extent"): "min_extent",
+}
+#: Switches of feature blocks.
+FLAGS = {"use_rhythm": "rhythm", "use_market_access": "market"}
+#: Options of a run that are arguments of the functions here, not of the configuration.
+ELSEWHERE = {
+    ("seed", "seed"), ("data", "raw_dir"), ("data", "dictionary"), ("graph", "rules"), ("clustering", "k_range"), ("clustering", "methods"), ("clustering", "graph_rules"), ("clustering", "top_for_stability"),
+    ("final", "method"), ("final", "rule"), ("final", "k"), ("temporal", "rule"), ("temporal", "lambda_grid"), ("temporal", "multislice_resolution"), ("temporal", "multislice_omega"),
+    ("interpretation", "sensitivity_rules"), ("interpretation", "sensitivity_knn"),
+}
+
 #: Graph rule -> what it is built from; an index on a graph is fair to a method that shares none of it.
 RULE_SOURCES = {
     "cosine": {"features"}, "residual_corr": {"series"}, "lagged_corr": {"series"}, "dtw": {"series"},

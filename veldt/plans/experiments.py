@@ -28,18 +28,95 @@ def run_indices(labels: DataFrame, vectors: DataFrame, edges: dict[str, DataFram
     out = None
     for key in keys:
         lab = labels.where(F.col("key") == key).select("id", "label")
-        rows = [indices.silhouette(vectors, lab).select(F.lit("SW").alias("index"), F.lit("-").alias("graph"), F.col("SW").alias("value"))]
-        rows.append(indices.calinski_harabasz(vectors, lab).select(F.lit("CH"), F.lit("-"), "CH"))
-        rows.append(indices.s_dbw(vectors, lab).select(F.lit("S_Dbw"), F.lit("-"), "S_Dbw"))
-        for name, e in edges.items():
-            g = indices.graph_indices(e, lab)
-            rows += [g.select(F.lit(i), F.lit(name), i) for i in ("AVI", "AVU", "MQ")]
-        for r in rows:
-            r = r.select(F.lit(key).alias("key"), *[F.col(c).alias(n) for c, n in zip(r.columns, ("index", "graph", "value"), strict=True)])
-            out = r if out is None else out.union(r)
+        tables = [("-", indices.silhouette(vectors, lab)), ("-", indices.calinski_harabasz(vectors, lab)), ("-", indices.s_dbw(vectors, lab))]
+        tables += [(name, indices.graph_indices(e, lab)) for name, e in edges.items()]
+        for graph, table in tables:
+            for index in table.columns:
+                one = table.select(F.lit(key).alias("key"), F.lit(index).alias("index"), F.lit(graph).alias("graph"), F.col(index).alias("value"))
+                out = one if out is None else out.union(one)
     return out
 
 
+def _quality(frame: pd.DataFrame, ids: np.ndarray, x: np.ndarray, edges: dict[str, tuple]) -> pd.DataFrame:
+    """All indices of one run; those that need two clusters are null for one."""
+    frame = frame.sort_values("id")
+    lab = np.unique(frame["label"].to_numpy(), return_inverse=True)[1]
+    member = (lab[:, None] == np.arange(lab.max() + 1)).astype(float)
+    size, n, k = member.sum(0), len(lab), member.shape[1]
+    rows: list[tuple] = [("clusters", "-", float(k)), ("min_share", "-", float(size.min() / n))]
+    two = k >= 2
+    far = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x @ x.T, 0))
+    np.fill_diagonal(far, 0)
+    sums, own = far @ member, member.astype(bool)
+    mean = np.where(own, sums / np.maximum(size - 1, 1), sums / size)
+    inside, outside = mean[own], np.where(own, np.inf, mean).min(1)
+    width = np.where(size[lab] > 1, (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300), 0.0) if two else np.zeros(n)
+    centre = (member.T @ x) / size[:, None]
+    spread = (member.T @ x**2) / size[:, None] - centre**2
+    between, within = (size[:, None] * (centre - x.mean(0)) ** 2).sum(), (size[:, None] * spread).sum()
+    norm = np.sqrt((spread**2).sum(1))
+    reach = np.sqrt(norm.sum()) / k
+    own_near = [int((np.linalg.norm(x[lab == c] - centre[c], axis=1) <= reach).sum()) for c in range(k)]
+    dens = []
+    for i in range(k):
+        for j in range(i + 1, k):
+            mid = (np.linalg.norm(x[(lab == i) | (lab == j)] - (centre[i] + centre[j]) / 2, axis=1) <= reach).sum()
+            most = max(own_near[i], own_near[j])
+            dens.append(mid / most if most else 0.0)
+    scatter = norm.mean() / np.sqrt((x.var(0) ** 2).sum())
+    rows += [("SW", "-", float(width.mean()) if two else None), ("CH", "-", float(between / (k - 1) / (within / (n - k))) if two and n > k and within > 0 else None)]
+    rows.append(("S_Dbw", "-", float(scatter + np.mean(dens)) if two else None))
+    for name, (src, dst, w) in edges.items():
+        block = np.zeros((k, k))
+        np.add.at(block, (lab[src], lab[dst]), w)
+        inner, vol = block.diagonal() / 2, block.sum(1)
+        total = max(vol.sum(), 1e-12)
+        i, j = np.triu_indices(k, 1)
+        rows.append(("AVI", name, float((inner / np.maximum(inner + vol - 2 * inner, 1e-12)).mean()) if two else None))
+        rows.append(("AVU", name, float((block[i, j] / np.maximum(inner[i] + inner[j] + block[i, j], 1e-12)).mean()) if two else None))
+        rows.append(("MQ", name, float(2 * inner.sum() / total - (vol**2).sum() / total**2) if two else None))
+    out = pd.DataFrame(rows, columns=["index", "graph", "value"])
+    out.insert(0, "key", frame["key"].iloc[0])
+    return out
+
+
+def grid_indices(labels: DataFrame, vectors: DataFrame, graphs: dict[str, DataFrame]) -> DataFrame:
+    """labels(key, id, label) -> (key, index, graph, value): sizes and every index of every run, a task a run.
+
+    As ``cluster.run`` does, it sends the vectors and edges of the analysed entities, at most
+    MOST_NODES, to every task; ``run_indices`` computes the same from tables of any size.
+    """
+    if (n := vectors.count()) > cluster.MOST_NODES:
+        raise ValueError(f"{n} entities; kernels take {cluster.MOST_NODES} at most")
+    frame = vectors.select("id", "x").toPandas().sort_values("id", ignore_index=True)
+    ids, x = frame["id"].to_numpy(), np.array(frame["x"].tolist(), dtype=float)
+    edges = {}
+    for name, e in graphs.items():
+        p = e.select("src", "dst", "w").toPandas()
+        p = p[p["src"].isin(ids) & p["dst"].isin(ids)]
+        edges[name] = (np.searchsorted(ids, p["src"]), np.searchsorted(ids, p["dst"]), p["w"].to_numpy())
+    return labels.select("key", "id", "label").groupBy("key").applyInPandas(lambda f: _quality(f, ids, x, edges), "key string, index string, graph string, value double")
+
+
+def ranked_runs(values: DataFrame, min_share: float = 0.01) -> DataFrame:
+    """(k, item, borda, copeland, their ranks, kemeny_rank) of the admissible runs of a grid, within each k.
+
+    Graph indices are means over the graphs that share no source with the run; a run without
+    such a graph, with one cluster or with a tiny one is not ranked.
+    """
+    from veldt.operators import ranking
+    from veldt.operators.serve import key_parts
+    from veldt.plans.config import HIGHER_IS_BETTER
+
+    parts = materialised(key_parts(values), "run-values")
+    fair = ranking.fair_means(parts.where("graph <> '-'")).select("method", "rule", "k", "index", "value")
+    plain = parts.where("graph = '-'").select("method", "rule", "k", "index", "value")
+    table = plain.union(fair).groupBy("method", "rule", "k").pivot("index", [*HIGHER_IS_BETTER, "clusters", "min_share"]).agg(F.first("value"))
+    good = ranking.admissible(table, list(HIGHER_IS_BETTER), min_share)
+    scores = good.select("k", F.concat_ws("|", "method", "rule", F.col("k").cast("string")).alias("item"), *HIGHER_IS_BETTER).unpivot(["k", "item"], list(HIGHER_IS_BETTER), "criterion", "value")
+    return ranking.rank_table(ranking.oriented(materialised(scores, "run-scores"), HIGHER_IS_BETTER))
+
+
 def _agreement(frame: pd.DataFrame) -> pd.DataFrame:
     t = pd.crosstab(frame["label"], frame["base"]).to_numpy().astype(float)
     two = lambda m: float((m * (m - 1) / 2).sum())
@@ -63,6 +140,49 @@ def stability(vectors: DataFrame, edges: dict[str, DataFrame], method: str, rule
     return ari.groupBy(kind.alias("kind")).agg(F.avg("ari").alias("mean"), F.percentile("ari", 0.1).alias("q10"))
 
 
+def _measured(frame: pd.DataFrame) -> pd.DataFrame:
+    near: dict[int, set[int]] = {}
+    for u, v in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
+        near.setdefault(u, set()).add(v)
+    closed = []
+    for u, around in near.items():
+        d = len(around)
+        closed.append(sum(len(around & near[v]) for v in around) / (d * (d - 1)) if d > 1 else 0.0)
+    left, components = set(near), 0
+    while left:
+        todo = [left.pop()]
+        components += 1
+        while todo:
+            new = near[todo.pop()] & left
+            left -= new
+            todo.extend(new)
+    half = frame[frame["src"] < frame["dst"]]
+    known = frame.dropna(subset=["la", "lb"])
+    total = known["w"].sum()
+    inner = known.loc[known["la"] == known["lb"], "w"].sum()
+    mq = inner / total - (known.groupby("la")["w"].sum() ** 2).sum() / total**2 if total > 0 else None
+    row = (frame["rule"].iloc[0], int(frame["knn"].iloc[0]), len(half), max(map(len, near.values())), float(np.mean(closed)), components, float((half["ga"] == half["gb"]).mean()), mq)
+    return pd.DataFrame([row], columns=["rule", "knn", "edges", "degree_max", "clustering", "components", "same_group", "MQ"])
+
+
+def graph_sensitivity(ranked: dict[str, DataFrame], ks: list[int], labels: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rule, knn, edges, degree_max, clustering, components, same_group, MQ) of every rule's graph at every number of neighbours.
+
+    ranked: (src, dst, sim, rank) by rule, up to the largest of ks. labels(id, label) and
+    groups(id, g) stay fixed. A graph of n nodes has at most 2 n k edges; a task measures one.
+    """
+    out = None
+    for rule, r in ranked.items():
+        best = r.where("sim > 0").select("src", "dst", "sim", "rank", F.explode(F.array(*[F.lit(k) for k in ks])).alias("knn")).where("rank <= knn")
+        both = best.select("knn", "src", "dst", "sim").union(best.select("knn", "dst", "src", "sim")).groupBy("knn", "src", "dst").agg(F.max("sim").alias("w"))
+        one = both.select(F.lit(rule).alias("rule"), "knn", "src", "dst", "w")
+        out = one if out is None else out.union(one)
+    for end, l, g in (("src", "la", "ga"), ("dst", "lb", "gb")):
+        out = out.join(labels.select(F.col("id").alias(end), F.col("label").cast("double").alias(l)), end, "left").join(groups.select(F.col("id").alias(end), F.col("g").alias(g)), end, "left")
+    schema = "rule string, knn int, edges long, degree_max long, clustering double, components long, same_group double, MQ double"
+    return out.groupBy("rule", "knn").applyInPandas(lambda f: _measured(f), schema)
+
+
 #: Named changes of the feature blocks.
 PATCHES = {
     "structure": {"level": 0.0, "rhythm": 0.0}, "structure+level": {"rhythm": 0.0}, "structure+level+rhythm": {},

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veldt.functions.scalars import normal_name
 from veldt.operators import cluster, concepts, features, graphs, indices, pairs, ranking, relational, serve, stats, temporal
-from veldt.plans.config import HIGHER_IS_BETTER, Config
+from veldt.plans.config import FAMILIES, HIGHER_IS_BETTER, RULE_SOURCES, Config
 from veldt.plans.sqltext import CATS, FEATURES, RESID, SHARES, sql
 from veldt.sources import panel as source
 from veldt.sources.staging import materialised
@@ -832,7 +832,20 @@ def delta_stability(spark, d):
     return concepts.delta_stability(part_context(spark, d), ["p_size_ge_75"])
 
 
-@query()
+_SETS = """c AS MATERIALIZED (SELECT x.*, (p_size > 25)::BIGINT AS label FROM (CONTEXT) x JOIN part ON p_partkey = id),
+long AS MATERIALIZED (SELECT id, label, unnest(range(0, ATTRS)) AS a, unnest([NAMES]) AS has FROM c),
+sets AS (SELECT [a] AS s FROM (SELECT unnest(range(0, ATTRS)) AS a) UNION ALL SELECT [a, b] FROM (SELECT unnest(range(0, ATTRS)) AS a), (SELECT unnest(range(0, ATTRS)) AS b) WHERE a < b
+UNION ALL SELECT [a, b, e] FROM (SELECT unnest(range(0, ATTRS)) AS a), (SELECT unnest(range(0, ATTRS)) AS b), (SELECT unnest(range(0, ATTRS)) AS e) WHERE a < b AND b < e),
+inside AS (SELECT s, id, label FROM sets JOIN (SELECT id, any_value(label) AS label, list(a ORDER BY a) FILTER (has) AS own FROM long GROUP BY id) ON list_has_all(own, s)),
+ext AS (SELECT s, count(*) AS n FROM inside GROUP BY s), hit AS (SELECT s, label, count(*) AS h FROM inside GROUP BY ALL), total AS (SELECT label, count(*) AS m FROM c GROUP BY label),
+judged AS (SELECT s, label, n, h / n::DOUBLE AS p, h / m::DOUBLE AS r FROM hit JOIN ext USING (s) JOIN total USING (label)),
+chosen AS (SELECT *, 2 * p * r / (p + r) AS f1 FROM judged WHERE n >= 10 AND p >= 0.5 QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(2 * p * r / (p + r), 12) DESC, len(s), s) = 1),
+held AS (SELECT k.label, l.a, count(*) FILTER (l.has) AS w, any_value(k.n) AS n FROM chosen k JOIN inside i ON i.s = k.s JOIN long l ON l.id = i.id GROUP BY ALL)""".replace("CONTEXT", _CTXSQL).replace("ATTRS", str(len(_ALL))).replace("NAMES", ", ".join(_ALL))
+
+
+@query(f"""WITH {_SETS} SELECT label, list_transform(s, lambda a: [{", ".join(f"'{a}'" for a in _ALL)}][a + 1]) AS generator,
+(SELECT coalesce(list([{", ".join(f"'{a}'" for a in _ALL)}][a + 1] ORDER BY a), []) FROM held h WHERE h.label = k.label AND w = n) AS closure,
+n AS extent, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, coalesce((SELECT min(h.n - w) FROM held h WHERE h.label = k.label AND w < h.n), n) AS delta FROM chosen k""")
 def describe_types(spark, d):
     lab = source.scan(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") > 25).cast("long").alias("label"))
     return r6(concepts.describe_types(part_context(spark, d), lab))
@@ -1011,12 +1024,29 @@ def gmm(spark, d):
     return cluster.distributed_gmm(profile_vectors(spark, d), 2, 3)
 
 
-@query()
-def grid(spark, d):
+def rule_graphs(spark, d) -> dict[str, DataFrame]:
+    """The graph of every rule over the whole series, on the entities with a profile."""
+    x, roads = profile_vectors(spark, d), source.road_edges(spark, d)
+    out = {}
+    for rule in RULE_SOURCES:
+        e = graphs.build(rule, x, residuals(spark, d), roads, list(RESID), "9999-99", EVERY, CFG)
+        out[rule] = e.join(x.select(F.col("id").alias("src")), "src", "left_semi").join(x.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "w")
+    return out
+
+
+@shared
+def grid_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every method on every rule for 4 to 12 types: 342 runs."""
     from veldt.plans.experiments import jobs
 
-    j = jobs(spark, ("kmeans", "ward"), ("spectral", "attributed_spectral"), ("cosine",), range(2, 4))
-    return cluster.run(j, profile_vectors(spark, d), {"cosine": profile_graph(spark, d)}).select("key", "id", "label")
+    plain = [m for m, f in FAMILIES.items() if f == "features"]
+    j = jobs(spark, plain, [m for m in FAMILIES if m not in plain], RULE_SOURCES, range(4, 13))
+    return cluster.run(j, profile_vectors(spark, d), rule_graphs(spark, d))
+
+
+@query()
+def grid(spark, d):
+    return grid_labels(spark, d).select("key", "id", "label")
 
 
 @query()
