@@ -344,7 +344,9 @@ def remove_repeats(df: DataFrame, unit, solve: Callable, finish: Callable, crowd
         same = written(same, "domains")
         group = same.groupBy("v").agg(F.count("*").alias("m"), F.max("twice").alias("t"))
         group = group.where("m > 1 or t").select("v", (F.col("m") > crowd).alias("hot"))
-        full = met.join(same.where("c > 1").select("v", "g"), ["v", "g"]).select("doc_id", "k", "at", "n")
+        most = met.count() // HEAVY
+        light, heavy = (met.join(t, ["v", "g"]) for t in (same.where((F.col("c") > 1) & (F.col("c") <= most)).select("v", "g"), F.broadcast(same.where((F.col("c") > 1) & (F.col("c") > most)).select("v", "g"))))
+        full = light.union(heavy).select("doc_id", "k", "at", "n")
         edges = same.join(group, "v").select("v", "g", "c", "n", "hot", "first.doc_id", "first.k", "first.at")
         per_doc = edges.groupBy("doc_id", "k").agg(F.collect_list(F.struct("v", "g", "c", "at", "n", "hot")).alias("marks"))
         packed = docs.mapInArrow(_packed, f"{ids}, k long, z binary")
