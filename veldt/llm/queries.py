@@ -24,6 +24,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page ids name records: rows that repeat the least id of a payload are all its response."""
     folder, _ = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(spark, folder)
 

@@ -321,6 +321,19 @@ def _common(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("salt", salt.cast("long")).join(groups, [*keys, "salt"]).drop("salt")
 
 
+def _joined(rows: DataFrame, keys: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Inner join; ``size`` of a key is the number of its rows (of which there are all in ``rows``).
+
+    Keys with more than one row in HEAVY are fewer than HEAVY, so they are broadcast and their
+    rows stay where they lie.
+    """
+    most = rows.count() // HEAVY
+    columns = [c for c in rows.columns if c != size]
+    rows = rows.select(columns)
+    light, heavy = keys.where(F.col(size) <= most), keys.where(F.col(size) > most)
+    return rows.join(light, on).unionByName(rows.join(F.broadcast(heavy), on))
+
+
 def remove_repeats(df: DataFrame, unit, solve: Callable, finish: Callable, crowd: int, parts: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Marks every window of ``unit.span`` symbols that also starts elsewhere and finishes each row with its marks.
 
@@ -343,11 +356,9 @@ def remove_repeats(df: DataFrame, unit, solve: Callable, finish: Callable, crowd
         same = met.groupBy("v", "g").agg(F.count("*").alias("c"), F.max("twice").alias("twice"), F.max("n").alias("n"), F.min(F.struct("doc_id", "k", "at")).alias("first"))
         same = written(same, "domains")
         group = same.groupBy("v").agg(F.count("*").alias("m"), F.max("twice").alias("t"))
-        group = group.where("m > 1 or t").select("v", (F.col("m") > crowd).alias("hot"))
-        most = met.count() // HEAVY
-        light, heavy = (met.join(t, ["v", "g"]) for t in (same.where((F.col("c") > 1) & (F.col("c") <= most)).select("v", "g"), F.broadcast(same.where((F.col("c") > 1) & (F.col("c") > most)).select("v", "g"))))
-        full = light.union(heavy).select("doc_id", "k", "at", "n")
-        edges = same.join(group, "v").select("v", "g", "c", "n", "hot", "first.doc_id", "first.k", "first.at")
+        group = group.where("m > 1 or t").select("v", "m", (F.col("m") > crowd).alias("hot"))
+        full = _joined(met, same.where("c > 1").select("v", "g", "c"), ["v", "g"], "c").select("doc_id", "k", "at", "n")
+        edges = _joined(same, group, ["v"], "m").select("v", "g", "c", "n", "hot", "first.doc_id", "first.k", "first.at")
         per_doc = edges.groupBy("doc_id", "k").agg(F.collect_list(F.struct("v", "g", "c", "at", "n", "hot")).alias("marks"))
         packed = docs.mapInArrow(_packed, f"{ids}, k long, z binary")
         left = packed.alias("p").join(per_doc.alias("m"), F.col("p.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("p.k") == F.col("m.k")))
