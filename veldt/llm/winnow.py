@@ -328,10 +328,9 @@ def _joined(rows: DataFrame, keys: DataFrame, on: list[str], size: str) -> DataF
     rows stay where they lie.
     """
     most = rows.count() // HEAVY
-    columns = [c for c in rows.columns if c != size]
-    rows = rows.select(columns)
-    light, heavy = keys.where(F.col(size) <= most), keys.where(F.col(size) > most)
-    return rows.join(light, on).unionByName(rows.join(F.broadcast(heavy), on))
+    rows = rows.select([c for c in rows.columns if c != size])
+    light, heavy = keys.where(F.col(size) <= most), F.broadcast(keys.where(F.col(size) > most))
+    return rows.join(heavy, on, "left_anti").join(light, on).unionByName(rows.join(heavy, on))
 
 
 def remove_repeats(df: DataFrame, unit, solve: Callable, finish: Callable, crowd: int, parts: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -356,7 +355,7 @@ def remove_repeats(df: DataFrame, unit, solve: Callable, finish: Callable, crowd
         same = met.groupBy("v", "g").agg(F.count("*").alias("c"), F.max("twice").alias("twice"), F.max("n").alias("n"), F.min(F.struct("doc_id", "k", "at")).alias("first"))
         same = written(same, "domains")
         group = same.groupBy("v").agg(F.count("*").alias("m"), F.max("twice").alias("t"))
-        group = group.where("m > 1 or t").select("v", "m", (F.col("m") > crowd).alias("hot"))
+        group = written(group.where("m > 1 or t").select("v", "m", (F.col("m") > crowd).alias("hot")), "groups")
         full = _joined(met, same.where("c > 1").select("v", "g", "c"), ["v", "g"], "c").select("doc_id", "k", "at", "n")
         edges = _joined(same, group, ["v"], "m").select("v", "g", "c", "n", "hot", "first.doc_id", "first.k", "first.at")
         per_doc = edges.groupBy("doc_id", "k").agg(F.collect_list(F.struct("v", "g", "c", "at", "n", "hot")).alias("marks"))
