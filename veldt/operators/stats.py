@@ -114,7 +114,7 @@ def join_count(edges: DataFrame, labels: DataFrame, samples: int = 200, seed: in
     s = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s")
     ids = labels.select("id", "label", s)
     at = ids.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("id"))).select("s", "id", "n")
-    mixed = ids.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed), "s", "id"), "id"))).select("s", "n", "label")
+    mixed = ids.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("s").cast("string"), F.col("id").cast("string"))), "id"))).select("s", "n", "label")
     lab = at.join(mixed, ["s", "n"]).select("s", "id", "label")
     half = edges.where("src < dst").select("src", "dst")
     e = half.join(lab.select(F.col("id").alias("src"), "s", F.col("label").alias("la")), "src").join(lab.select(F.col("id").alias("dst"), "s", F.col("label").alias("lb")), ["dst", "s"])

@@ -880,9 +880,12 @@ def join_count_observed(spark, d):
     return r6(stats.same_label_share(vector_graph(spark, d), vector_labels(spark, d)))
 
 
-@query()
+@query(sql("SELECT round(o, 6) AS observed, round(m, 6) AS expected, round((o - m) / sd, 6) AS z FROM (SELECT avg((a.label = b.label)::INT) AS o FROM pknn JOIN types a ON src = a.id JOIN types b ON dst = b.id WHERE src < dst), (SELECT avg(v) AS m, stddev_pop(v) AS sd FROM drawn)",
+  """smp AS (SELECT unnest(range(0, 200)) AS s), spot AS (SELECT s, id, row_number() OVER (PARTITION BY s ORDER BY id) AS n FROM types, smp),
+mixed AS (SELECT s, label, row_number() OVER (PARTITION BY s ORDER BY md5('0:' || s || ':' || id), id) AS n FROM types, smp), put AS (SELECT s, id, label FROM spot JOIN mixed USING (s, n)),
+drawn AS (SELECT a.s, avg((a.label = b.label)::INT) AS v FROM pknn JOIN put a ON src = a.id JOIN put b ON dst = b.id AND b.s = a.s WHERE src < dst GROUP BY a.s)"""))
 def join_count(spark, d):
-    return r6(stats.join_count(profile_graph(spark, d), types(spark, d), 50))
+    return r6(stats.join_count(profile_graph(spark, d), types(spark, d)))
 
 
 @query("SELECT count(*) AS regions, count(*) FILTER (n > 1) AS mixed, round(avg(n), 6) AS mean_types FROM (SELECT n_regionkey, count(DISTINCT c_mktsegment) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)")
