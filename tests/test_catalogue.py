@@ -12,7 +12,8 @@ PICK = (
     "silhouette", "s_dbw", "avi_avu", "nmi", "rank_table", "viterbi", "lifecycle_events", "kruskal_wallis", "delta_stability", "fair_index_mean",
     "both_ends", "components", "market_access", "code_or_name_match", "search", "kemeny", "dtw_similarity", "feature_kernel", "graph_properties", "block_null", "null_pvalue", "lambda_fit", "slice_nmi",
     "describe_types", "strict_panel", "strict_shares", "run_indices", "grid_indices", "candidates", "wins", "cross_index", "types_by_level", "nearest_type", "graph_sensitivity", "switch_sensitivity",
-    "monthly_graphs", "network_emissions", "external_bundle", "movers_from", "summary", "key_parts",
+    "monthly_graphs", "network_emissions", "external_bundle", "movers_from", "summary", "key_parts", "plane",
+    *[f"regions_by_{m}" for m in ("kmeans", "gmm", "ward", "spectral", "leiden", "attributed_spectral", "sefnac", "dmon", "distributed_kmeans")],
 )
 
 
@@ -34,7 +35,7 @@ def plain(value):
 
 @pytest.mark.parametrize("name", PICK)
 def test_query_matches_sql(spark, duck, name):
-    from veldt.plans import chained  # noqa: F401
+    from veldt.plans import chained, recovered  # noqa: F401
     from veldt.plans.queries import ORACLE, QUERIES
 
     got = QUERIES[name](spark, FOLDER)

@@ -210,6 +210,35 @@ def test_soft_modularity_gradient():
         assert grad[i, j] == pytest.approx((up - down) / 2e-6, abs=1e-6)
 
 
+def test_plane_keeps_groups_apart_and_gradient_is_right():
+    rng = np.random.default_rng(1)
+    lab = np.repeat([0, 1, 2], 30)
+    x = rng.normal(size=(90, 5))
+    x[np.arange(90), lab] += 8
+    y = cluster.plane(x)
+    assert y.min() == 0 and y.max() == 1
+    d = ((y[:, None] - y[None, :]) ** 2).sum(2) + np.eye(90) * 9
+    assert (lab[d.argmin(1)] == lab).mean() > 0.97
+
+    def loss(z):
+        q = 1 / (1 + ((z[:, None] - z[None, :]) ** 2).sum(2))
+        np.fill_diagonal(q, 0)
+        q = q / q.sum()
+        on = ~np.eye(len(z), dtype=bool)
+        return (p[on] * np.log(p[on] / q[on])).sum()
+
+    p = np.maximum(cluster.neighbour_odds(x, 10.0), 1e-300)
+    assert p[~np.eye(90, dtype=bool)].sum() == pytest.approx(1)
+    # a settled map lies in a valley: the divergence has no slope in any direction, and it is below that of the components
+    z = cluster.tsne(x, 10.0)
+    assert loss(z) < loss(cluster.principal(x))
+    for _ in range(5):
+        move = rng.normal(size=z.shape)
+        move *= 0.01 / np.linalg.norm(move)
+        assert abs(loss(z + move) - loss(z - move)) / 0.02 < 1e-3
+    assert cluster.plane(x[:3]).shape == (3, 2) and not cluster.plane(np.ones((5, 1))).any()
+
+
 def test_small_communities_follow_their_ties():
     a = np.zeros((8, 8))
     for u, v in ((0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (6, 5), (7, 6)):

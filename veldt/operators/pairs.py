@@ -1,8 +1,8 @@
 """All-pairs similarities by blocks of rows.
 
-Vectors are dealt into blocks by a hash of the id; every pair of blocks is one group whose
-matrix product numpy takes, and only the best k of each row leave it. The n x n table is
-never made, and a group holds two blocks whatever n is.
+Vectors are dealt into blocks by a hash of the id; every unordered pair of blocks is one group,
+whose product numpy takes once for both directions (measures are symmetric), and only the best
+k of each row leave it. The n x n table is never made, and a group holds two blocks whatever n is.
 """
 
 from __future__ import annotations
@@ -48,24 +48,19 @@ def _stack(frame: pd.DataFrame) -> np.ndarray:
 
 
 def blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """The two sides of every pair of blocks: (i, j, id, x)."""
+    """The two sides of every pair of blocks i <= j: (i, j, id, x)."""
     n = max(1, -(-vectors.count() // size))
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.select("*", own.alias("own"), other.alias("other"))
 
     def side(i: str, j: str) -> DataFrame:  # aliases: the two sides of a cogroup must not share columns
-        return rows.select(F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(c) for c in vectors.columns])
+        return rows.where(F.col(i) <= F.col(j)).select(F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(c) for c in vectors.columns])
 
     return side("own", "other"), side("other", "own")
 
 
-def _best(left: pd.DataFrame, right: pd.DataFrame, k: int, measure: Measure) -> pd.DataFrame:
-    if not len(left) or not len(right):
-        return pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "sim": np.zeros(0)})
-    right = right.sort_values("id")
-    src, dst = left["id"].to_numpy(), right["id"].to_numpy()
-    s = measure(_stack(left), _stack(right))
+def _best(s: np.ndarray, src: np.ndarray, dst: np.ndarray, k: int) -> pd.DataFrame:
     s = np.where(src[:, None] == dst[None, :], -np.inf, s)
     m = min(k, s.shape[1])
     # stable order on ids ascending: equal similarities keep the lower id
@@ -75,6 +70,17 @@ def _best(left: pd.DataFrame, right: pd.DataFrame, k: int, measure: Measure) ->
     return out[np.isfinite(sim)]
 
 
+def _trim(left: pd.DataFrame, right: pd.DataFrame, k: int, measure: Measure) -> pd.DataFrame:
+    if not len(left) or not len(right):
+        return pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "sim": np.zeros(0)})
+    one = left["i"].iloc[0] == left["j"].iloc[0]
+    left, right = left.sort_values("id"), right.sort_values("id")
+    src, dst = left["id"].to_numpy(), right["id"].to_numpy()
+    s = measure(_stack(left), _stack(right))
+    there = _best(s, src, dst, k)
+    return there if one else pd.concat([there, _best(s.T, dst, src, k)], ignore_index=True)
+
+
 def top_k(vectors: DataFrame, k: int, measure: Measure = cosine, block: int = 1024) -> DataFrame:
     """vectors(id long, x array) -> (src, dst, sim, rank): the k most similar others of each, lower id first on ties."""
     a, b = blocks(vectors.select("id", "x"), block)
@@ -83,8 +89,11 @@ def top_k(vectors: DataFrame, k: int, measure: Measure = cosine, block: int = 10
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _trim(left: pd.DataFrame, right: pd.DataFrame, k: int, measure: Measure) -> pd.DataFrame:
-    return _best(left, right, k, measure)
+def _sums(d: np.ndarray, same: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    names, code = np.unique(right["label"].to_numpy(), return_inverse=True)
+    hot = np.eye(len(names))[code]
+    sums, counts = d @ hot, (~same).astype(float) @ hot
+    return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), len(names)), "label": np.tile(names, len(left)).astype(np.int64), "dist": sums.ravel(), "n": counts.ravel().astype(np.int64)})
 
 
 def _label_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -94,10 +103,8 @@ def _label_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0.0))
     same = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
     d[same] = 0.0
-    names, code = np.unique(right["label"].to_numpy(), return_inverse=True)
-    hot = np.eye(len(names))[code]
-    sums, counts = d @ hot, (~same).astype(float) @ hot
-    return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), len(names)), "label": np.tile(names, len(left)).astype(np.int64), "dist": sums.ravel(), "n": counts.ravel().astype(np.int64)})
+    there = _sums(d, same, left, right)
+    return there if left["i"].iloc[0] == left["j"].iloc[0] else pd.concat([there, _sums(d.T, same.T, right, left)], ignore_index=True)
 
 
 def distances_to_labels(vectors: DataFrame, block: int = 1024) -> DataFrame:

@@ -183,28 +183,31 @@ def graph_sensitivity(ranked: dict[str, DataFrame], ks: list[int], labels: DataF
     return out.groupBy("rule", "knn").applyInPandas(lambda f: _measured(f), schema)
 
 
-#: Named changes of the feature blocks.
-PATCHES = {
-    "structure": {"level": 0.0, "rhythm": 0.0}, "structure+level": {"rhythm": 0.0}, "structure+level+rhythm": {},
-    "unsmoothed": {"window": 1}, "absolute": {"relative": False},
+#: Feature blocks of each variant, and months of smoothing.
+VARIANTS = {
+    "structure": (("structure",), 3), "structure+level": (("structure", "level"), 3), "structure+level+rhythm": (("structure", "level", "rhythm"), 3),
+    "structure+level+rhythm+market": (("structure", "level", "rhythm", "market"), 3), "unsmoothed": (("structure", "level", "rhythm"), 1),
 }
 
 
-def ablation(wide: DataFrame, categories: list[str], k: int, knn: int = 5, method: str = "attributed_spectral") -> DataFrame:
-    """(patch, ari): agreement of the types under each patch with those of the full features."""
-    weights = {"structure": 1.0, "level": 1.0, "rhythm": 0.6, "market": 0.5}
-    spark = wide.sparkSession
+def ablation(wide: DataFrame, categories: list[str], market: DataFrame, series: DataFrame, reference: DataFrame, k: int, knn: int = 5, method: str = "attributed_spectral") -> DataFrame:
+    """(variant, features, ari, SW, CH, S_Dbw, AVI, AVU, MQ): the method on features of fewer or more blocks.
 
-    def solve(patch: dict) -> DataFrame:
-        w = weights | {b: v for b, v in patch.items() if b in weights}
-        panel = features.feature_panel(wide, categories, patch.get("window", 3), relative=patch.get("relative", True), weights=w)
+    The graph is built anew from each variant's features. ari is held against reference(id,
+    label), the feature indices against the variant's features, the graph indices against
+    series(src, dst, w). market(entity, market_access).
+    """
+    weights = {"structure": 1.0, "level": 1.0, "rhythm": 0.6, "market": 0.5}
+    spark, out = wide.sparkSession, None
+    for name, (blocks, window) in VARIANTS.items():
+        w = {b: v if b in blocks else 0.0 for b, v in weights.items()}
+        panel = features.feature_panel(wide, categories, window, weights=w, market=market if "market" in blocks else None)
+        size = len(categories) + (1 if "level" in blocks else 0) + (3 if "rhythm" in blocks else 0) + (1 if "market" in blocks else 0)
         x = materialised(features.as_vectors(features.profile(panel).withColumnRenamed("entity", "id"), ["id"]), "ablation")
-        job = spark.createDataFrame([(method, 0, method, "cosine", k, 42, 1.0)], JOB)
-        return materialised(cluster.run(job, x, {"cosine": graphs.cosine_graph(x, knn)}).select("id", "label"), "ablation")
-
-    base, out = solve({}), None
-    for name, patch in PATCHES.items():
-        one = indices.adjusted_rand(base, solve(patch)).select(F.lit(name).alias("patch"), F.col("ARI").alias("ari"))
+        job = spark.createDataFrame([(name, 0, method, "cosine", k, 42, 1.0)], JOB)
+        lab = materialised(cluster.run(job, x, {"cosine": graphs.cosine_graph(x, knn)}).select("key", "id", "label"), "ablation")
+        found = grid_indices(lab, x, {"residual_corr": series}).groupBy().pivot("index", ["SW", "CH", "S_Dbw", "AVI", "AVU", "MQ"]).agg(F.first("value"))
+        one = indices.adjusted_rand(reference, lab.select("id", "label")).select(F.lit(name).alias("variant"), F.lit(size).alias("features"), F.col("ARI").alias("ari")).crossJoin(found)
         out = one if out is None else out.union(one)
     return out
 

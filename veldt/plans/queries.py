@@ -1063,7 +1063,8 @@ def stability(spark, d):
 def ablation(spark, d):
     from veldt.plans.experiments import ablation as measure
 
-    return r6(measure(wide(spark, d), list(CFG.categories), 3))
+    market = source.scan(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("entity")).agg(F.sum("s_acctbal").alias("market_access"))
+    return r6(measure(wide(spark, d), list(CFG.categories), market, rule_graphs(spark, d)["residual_corr"], types(spark, d), 3))
 
 
 @query()
