@@ -14,8 +14,9 @@ from veldt.operators.pairs import cosine, top_k
 from veldt.plans import experiments
 from veldt.plans.queries import (
     _NULL, _RAW_T, _RUNS, CFG, ORACLE, _runs, closed, emissions, grid_labels, panel_features, paths_text, profile_graph, profile_vectors, query, r6, regions, rule_graphs, scores, series_z,
-    shared, shares, types, with_kemeny,
+    shared, shares, types, vectors, with_kemeny,
 )
+from veldt.plans.config import FAMILIES, RULE_SOURCES
 from veldt.plans.sqltext import CATS, CTES, sql
 from veldt.sources import panel as source
 from veldt.sources.staging import materialised
@@ -91,6 +92,21 @@ def grid_ranking(spark, d):
     return r6(grid_ranks(spark, d))
 
 
+@query()
+def grid_ranking_vectors(spark, d):
+    """The same 342 runs, indices and ranks on all vectors of the embeddings table.
+
+    It has no series and no roads, so the seven graphs are nearest-neighbour graphs of 9 to 21 neighbours.
+    """
+    x = vectors(spark, d)
+    near = materialised(top_k(x, 21), "ranked")
+    layers = {rule: materialised(graphs.knn_graph(near.where(F.col("rank") <= 9 + 2 * i), 9 + 2 * i), "layer") for i, rule in enumerate(RULE_SOURCES)}
+    plain = [m for m, family in FAMILIES.items() if family == "features"]
+    runs = experiments.jobs(spark, plain, [m for m in FAMILIES if m not in plain], RULE_SOURCES, range(4, 13))
+    lab = materialised(cluster.run(runs, x, layers), "runs")
+    return r6(experiments.ranked_runs(experiments.grid_indices(lab, x, layers), CFG.min_share))
+
+
 @query()
 def grid_candidates(spark, d):
     """The final run, plain k-means and the first three of every k."""

@@ -202,7 +202,7 @@ def ablation(wide: DataFrame, categories: list[str], market: DataFrame, series:
     for name, (blocks, window) in VARIANTS.items():
         w = {b: v if b in blocks else 0.0 for b, v in weights.items()}
         panel = features.feature_panel(wide, categories, window, weights=w, market=market if "market" in blocks else None)
-        size = len(categories) + (1 if "level" in blocks else 0) + (3 if "rhythm" in blocks else 0) + (1 if "market" in blocks else 0)
+        size = len(features.share_names(categories)) + (1 if "level" in blocks else 0) + (3 if "rhythm" in blocks else 0) + (1 if "market" in blocks else 0)
         x = materialised(features.as_vectors(features.profile(panel).withColumnRenamed("entity", "id"), ["id"]), "ablation")
         job = spark.createDataFrame([(name, 0, method, "cosine", k, 42, 1.0)], JOB)
         lab = materialised(cluster.run(job, x, {"cosine": graphs.cosine_graph(x, knn)}).select("key", "id", "label"), "ablation")
