@@ -410,6 +410,26 @@ def test_classes_and_survivors(spark):
     assert simhash.classes(d.limit(0)).count() == 0
 
 
+def test_components_of_hot_stars_among_pairs(spark):
+    """Two star centres hold most ends of edges, thousands of pairs the rest; a few ties join them."""
+    rng = random.Random(12)
+    e = [(5000, i) for i in range(6000, 9000)] + [(20, i) for i in range(9000, 10500)]
+    e += [(20000 + 2 * i, 20001 + 2 * i) for i in range(3000)]
+    e += [(rng.choice(range(20000, 26000)), rng.choice(range(6000, 10500))) for _ in range(30)]
+    root = {v: v for pair in e for v in pair}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in e:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(e, "a long, b long")).collect()}
+    assert got == {v: find(v) for v in root if find(v) != v}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     e = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(e, "a long, b long")).collect()}
