@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldt.operators import cluster, concepts, features, graphs, indices, pairs, ranking, relational, serve, stats, temporal
+from veldt.plans import experiments
 from veldt.plans.config import Config
 
 
@@ -284,3 +285,68 @@ def test_serving(spark):
     assert serve.search(p, F.col("name"), "r").count() == 0
     h = serve.histogram(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v", 4)
     assert [r["n"] for r in h.orderBy("bin").collect()] == [2, 0, 0, 0]
+
+
+def test_kernels_hold_no_table_of_pairs():
+    """3000 nodes: less memory than one 3000 x 3000 table of doubles, right groups, the same from a table of weights; and any cut shared."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n, lab = 3000, np.repeat([0, 1, 2], 1000)
+    x = rng.normal(size=(n, 4))
+    x[np.arange(n), lab] += 9
+    src = np.repeat(np.arange(n), 6)
+    dst = (lab[src] * 1000 + rng.integers(0, 1000, len(src))).astype(int)
+    pairs = np.unique(np.c_[np.r_[src, dst], np.r_[dst, src]][np.r_[src, dst] != np.r_[dst, src]], axis=0)
+    net = cluster.Links(n, pairs[:, 0], pairs[:, 1], np.ones(len(pairs)))
+    same = lambda found: len({(a, b) for a, b in zip(lab.tolist(), found.tolist(), strict=True)}) == 3
+    tracemalloc.start()
+    for name in ("ward", "spectral", "leiden"):
+        assert same(cluster.METHODS[name](x, net, 3, 0)), name
+    cluster.sefnac(x, net, 3)
+    assert len(np.unique(cluster.dmon(x, net, 3, 0, epochs=3))) <= 3
+    cluster.Kernel(x) @ np.ones((n, 2))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * n * n
+    part = np.arange(0, n, 5)
+    some, table = net.among(part), np.zeros((n, n))
+    table[pairs[:, 0], pairs[:, 1]] = 1
+    assert (some @ np.eye(len(part)) == table[np.ix_(part, part)]).all()
+    for name in ("spectral", "sefnac", "ward"):
+        for k, found in zip((2, 4), cluster.CUTS[name](x[part], some, [2, 4], 0), strict=True):
+            assert (found == cluster.METHODS[name](x[part], table[np.ix_(part, part)], k, 0)).all(), name
+
+
+def test_leading_vectors_are_those_of_the_whole_decomposition():
+    rng = np.random.default_rng(6)
+    q = np.linalg.qr(rng.normal(size=(1300, 1300)))[0]
+    values = np.r_[np.linspace(-0.5, 0.8, 1290), 0.9, 0.92, 0.95, 0.95, 0.97, 0.98, 1, 1, 1, 1]
+    m = (q * values) @ q.T
+    found = cluster._found(cluster.leading(1300, 8), lambda v: m @ v)
+    assert np.abs(found.T @ found - np.eye(8)).max() < 1e-8 and np.abs(m @ found - found * values[-8:]).max() < 1e-6
+
+
+def test_indices_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(70, 3))
+    vectors = spark.createDataFrame([(i, x[i].tolist()) for i in range(70)], "id long, x array<double>")
+    runs = {f"m|-|{k}": rng.integers(0, k, 70) for k in (1, 2, 5)}
+    labels = spark.createDataFrame([(key, i, int(v)) for key, lab in runs.items() for i, v in enumerate(lab)], "key string, id long, label long")
+    edges = {"g": spark.createDataFrame([(i, (i + 1) % 70, 1.0) for i in range(70)] + [((i + 1) % 70, i, 1.0) for i in range(70)], "src long, dst long, w double")}
+    told = lambda df: {(r["key"], r["index"], r["graph"]): r["value"] for r in df.collect()}
+    whole, cut = told(experiments.grid_indices(labels, vectors, edges)), told(experiments.grid_indices(labels, vectors, edges, block=9, most=6))
+    assert whole.keys() == cut.keys() and len(whole) == 3 * 8
+    for key, v in whole.items():
+        assert (v is None and cut[key] is None) or v == pytest.approx(cut[key], abs=1e-12), key
+    far = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for key, lab in runs.items():
+        if len(set(lab)) < 2:
+            assert whole[key, "SW", "-"] is None
+            continue
+        width = []
+        for i in range(70):
+            mean = {c: far[i, (lab == c) & (np.arange(70) != i)] for c in set(lab.tolist())}
+            a, b = mean[lab[i]].mean(), min(v.mean() for c, v in mean.items() if c != lab[i])
+            width.append((b - a) / max(a, b))
+        assert whole[key, "SW", "-"] == pytest.approx(np.mean(width), abs=1e-9)
